@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate
+from waymark.llm import decontaminate, simhash
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_simhash": simhash.op4_simhash,
 }
 
 ORACLES = {
