@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, simhash
+from waymark.llm import decontaminate, quality_rules, simhash
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
 }
