@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, language_id, quality_model, quality_rules, simhash
+from waymark.llm import decontaminate, language_id, quality_model, quality_rules, secrets, simhash
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op6_quality_model": quality_model.op6_quality_model,
+    "op7_secrets": secrets.op7_secrets,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_language_id": language_id.op10_language_id,
 }
