@@ -1,11 +1,64 @@
-"""A corpus pipeline of five stages; filled in below."""
+"""A corpus pipeline: filter by quality, drop near-duplicates and benchmark leaks, mask secrets, pack.
 
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return
+the columns of ``documents``; the last returns one row for each piece of a packed sequence, with its ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from waymark.llm.common import Staged, read
+from waymark.llm.decontaminate import drop_contaminated
+from waymark.llm.packing import pack_documents
+from waymark.llm.quality_model import drop_rejected
+from waymark.llm.secrets import redact
+from waymark.llm.simhash import drop_near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return drop_rejected(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; every document stays."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of 2048."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("simhash near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scan", secret_masking),
+    ("packing", packing),
+]
+
+#: A classifier and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    staged = Staged(spark)
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = staged.put(docs, f"stage-{number}")
     return docs

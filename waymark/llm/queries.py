@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from waymark.llm import decontaminate, language_id, quality_model, quality_rules, secrets, simhash
+from waymark.llm import decontaminate, huffman, language_id, packing, quality_model, quality_rules, secrets, simhash
 
 QUERIES = {
+    "op1_huffman": huffman.op1_huffman,
+    "op2_packing": packing.op2_packing,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op6_quality_model": quality_model.op6_quality_model,
