@@ -109,17 +109,25 @@ def word_runs(buf: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray,
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit tabulation hashes of words: a random number for each (place, byte), summed."""
+    """64-bit tabulation hashes of words: a random number for each (place, byte), summed.
+
+    Words are taken in groups of about ``STEP_BYTES / 4`` bytes, so a long text needs no more memory than a short one.
+    """
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return out
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    at = place + np.repeat(starts, lengths)
-    part = _FLAT[((place & 63) << 8) | buf[at]]
-    if lengths.max() > 64:
-        part = part * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    return mix(np.add.reduceat(part, first))
+    total = np.cumsum(lengths)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(STEP_BYTES // 4, int(total[-1]), STEP_BYTES // 4)), [len(starts)]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        n = lengths[a:b]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), n)
+        part = _FLAT[((place & 63) << 8) | buf[place + np.repeat(starts[a:b], n)]]
+        if n.max() > 64:
+            part = part * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        out[a:b] = np.add.reduceat(part, first)
+    return mix(out)
 
 
 def joined(values: list[bytes | None], begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
