@@ -126,7 +126,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                         n = np.bincount(inverse, np.concatenate([sums[lang][1], n])).astype(np.int64)
                     sums[lang] = part, n
         for lang, (codes, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     grams = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
