@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from waymark.plans import fixtures
+from waymark.session import prepare
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +18,12 @@ def query(name: str, sql: str | None = None):
     def register(plan: Callable) -> Callable:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = plan
+
+        @wraps(plan)
+        def run(spark, sf_dir):
+            return plan(prepare(spark), sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = fixtures.expand(sql)
         return plan
