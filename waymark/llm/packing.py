@@ -17,15 +17,16 @@ an empty table gives no pieces; a very long text becomes many full sequences; ot
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import read, texts
-from waymark.llm.tokens import ids_of
+from waymark.llm.common import read
+from waymark.llm.tokens import STORE, ids_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -37,11 +38,11 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 Piece = tuple[int, int, int]
 
 
-def best_fill(counts: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
-    """(length, times) of a sub-multiset of ``counts`` with the largest sum up to ``room``."""
+def best_fill(counts: Iterable[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """(length, times) of a sub-multiset of ``counts`` with the largest sum up to ``room``; reads no further than needed."""
     whole, reach, before = (1 << (room + 1)) - 1, 1, []
     for length, count in counts:
-        before.append(reach)
+        before.append((length, reach))
         left, step = min(count, room // length), 1
         while left > 0:  # binary splitting: any number of copies up to ``left``
             take = min(step, left)
@@ -51,7 +52,7 @@ def best_fill(counts: list[tuple[int, int]], room: int) -> list[tuple[int, int]]
         if reach >> room & 1:
             break
     at, taken = reach.bit_length() - 1, []
-    for (length, _), earlier in zip(reversed(counts[: len(before)]), reversed(before), strict=True):
+    for length, earlier in reversed(before):
         times = 0
         while not earlier >> at & 1:
             at -= length
@@ -69,35 +70,43 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> Iterator[list[Piece]]:
             yield [(doc, start, capacity)]
         if size % capacity:
             open_pieces.setdefault(size % capacity, []).append((doc, size - size % capacity, size % capacity))
+    lengths = sorted(open_pieces)
 
     def pop(length: int) -> Piece:
         own = open_pieces[length]
         piece = own.pop()
         if not own:
-            del open_pieces[length]
+            del open_pieces[length], lengths[bisect_left(lengths, length)]
         return piece
 
-    while open_pieces:
-        longest = max(open_pieces)
-        lengths = sorted(((x, len(v) - (x == longest)) for x, v in open_pieces.items() if x <= capacity - longest or x == longest), reverse=True)
-        taken = dict(best_fill([(x, n) for x, n in lengths if n and x <= capacity - longest], capacity - longest))
+    def push(piece: Piece):
+        if piece[2] not in open_pieces:
+            open_pieces[piece[2]] = []
+            insort(lengths, piece[2])
+        open_pieces[piece[2]].append(piece)
+
+    while lengths:
+        longest = lengths[-1]
+        room = capacity - longest
+        others = ((x, len(open_pieces[x]) - (x == longest)) for x in reversed(lengths[: bisect_right(lengths, room)]))
+        taken = dict(best_fill(((x, n) for x, n in others if n), room)) if room else {}
         taken[longest] = taken.get(longest, 0) + 1
         slack = capacity - sum(x * n for x, n in taken.items())
-        for _ in range(min(len(open_pieces[x]) // n for x, n in taken.items()) if not slack else 1):
+        for _ in range(1 if slack else min(len(open_pieces[x]) // n for x, n in taken.items())):
             sequence = [pop(x) for x in sorted(taken, reverse=True) for _ in range(taken[x])]
             need = slack
-            while need and open_pieces:  # cut the shortest piece that suffices, else take the longest whole
-                fits = [x for x in open_pieces if x > need]
-                doc, start, length = pop(min(fits) if fits else max(open_pieces))
+            while need and lengths:  # cut the shortest piece that suffices, else take the longest whole
+                at = bisect_right(lengths, need)
+                doc, start, length = pop(lengths[at] if at < len(lengths) else lengths[-1])
                 used = min(need, length)
                 sequence.append((doc, start, used))
                 if length > used:
-                    open_pieces.setdefault(length - used, []).append((doc, start + used, length - used))
+                    push((doc, start + used, length - used))
                 need -= used
-            if not need:
-                yield sequence
-            else:
+            if need:
                 yield from _powers_of_two(sequence)
+            else:
+                yield sequence
 
 
 def _powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
@@ -118,8 +127,8 @@ def _powers_of_two(pieces: list[Piece]) -> Iterator[list[Piece]]:
         yield sequence
 
 
-def pack_documents(docs: DataFrame, path: str, *, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece with its ids (little-endian, 4 bytes each)."""
+def pack_documents(docs: DataFrame, path: str, *, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, store: int = STORE) -> DataFrame:
+    """One row per piece with its ids (little-endian, 4 bytes each). ``store``: units whose ids a worker keeps."""
 
     def scan(batches):
         from pyspark import TaskContext
@@ -144,7 +153,7 @@ def pack_documents(docs: DataFrame, path: str, *, end_id: int = END_ID, capacity
 
         names, held, total = [], [], 0
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), ids_of(texts(batch.column(1)), path, end_id), strict=True):
+            for name, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1), path, end_id, store), strict=True):
                 names.append(name)
                 held.append(ids)
                 total += len(ids)
