@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.session import prepare
+
 #: Bytes of text that one vectorised step handles; bounds the memory of a Python worker.
 STEP_BYTES = 1 << 21
 
@@ -33,7 +35,7 @@ class Staged:
     outlive a lost executor. ``drop`` deletes what is no longer needed."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.base = f"{shared_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -41,6 +43,12 @@ class Staged:
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table dealt by ``key`` once, so that later joins on it move only their other side."""
+        table, n = f"{name}_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "uncompressed").option("path", f"{self.base}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:

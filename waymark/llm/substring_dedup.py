@@ -3,7 +3,8 @@
 An edge of the graph is a k-mer of words (13 of them; its two 12-word ends are the nodes), known by a 64-bit
 hash. Only edges that occur in several documents matter, and texts walk along them in long paths:
 
-1. ``chunks``: the texts, compressed, in a staged table of bounded chunks; later steps read this table.
+1. ``chunks``: the texts, compressed, in a staged table of bounded chunks, bucketed by chunk, so that the joins of steps 3 and 5
+   do not move it again.
 2. ``candidates``: every chunk sends its distinct edges, shortened to about log2(edges) + 13 bits and delta-coded
    (under 3 bytes each), to buckets; a bucket tells each chunk which of them other chunks have, too. Short
    keys give about one false candidate in ten thousand, which step 4 discards.
@@ -242,7 +243,8 @@ def compact(walk: DataFrame, staged: Staged) -> DataFrame:
 
     edges = paths.select("path", "owner", "edges").mapInArrow(spread, "edge long, path binary, place int, owner long")
     first = edges.groupBy("edge").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most")
-    earlier = edges.join(first, "edge").where("least < owner").groupBy("path").agg(F.collect_list("place").alias("earlier"))
+    first = staged.put(first, "overlaps")  # few rows, and a plain shuffle on either side lets skewed edges be split
+    earlier = edges.join(first.drop("most"), "edge").where("least < owner").groupBy("path").agg(F.collect_list("place").alias("earlier"))
     return paths.select("path", "owner").join(earlier, "path", "left")
 
 
@@ -304,7 +306,7 @@ def cut(stored: DataFrame, cuts: DataFrame, window: int) -> DataFrame:
 def deduplicate(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed) of every row."""
     staged = Staged(docs.sparkSession)
-    stored = staged.put(chunks(docs, id_col, text_col), "chunks", codec="uncompressed")
+    stored = staged.put_bucketed(chunks(docs, id_col, text_col), "chunks", "chunk")
     total = stored.agg(F.sum("size")).first()[0] or 0
     keys = Keys(total)
     told = shared_edges(stored, keys, window)
