@@ -39,9 +39,12 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of 2048."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), store=STORE)
 
 
+#: Workers keep what they have stored into the next run's stages, which need the memory more than this one needs speed.
+STORE = 200_000
+
 STAGES = [
     ("quality classifier", quality),
     ("simhash near-duplicates", near_duplicates),
