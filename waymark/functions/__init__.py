@@ -1,0 +1 @@
+"""Functions: Column expressions and small driver-side rules."""

@@ -1,0 +1 @@
+"""Registered queries over the test tables, each with SQL for the same rows where SQL can express it."""

@@ -1,0 +1 @@
+"""Lanes on disk: snapshots, adapters, caches, uploads."""
