@@ -18,7 +18,7 @@ from waymark.operators import statistics as A
 from waymark.plans import fixtures as X
 from waymark.plans.define import query
 from waymark.plans.q_labels import classified
-from waymark.plans.q_relational import ORDER, celled, generated, t
+from waymark.plans.q_relational import celled, generated, t
 from waymark.plans.q_retrieval import assessed, label_qrels, rankings
 
 EVERY = W.partitionBy(F.lit(0))
@@ -161,10 +161,10 @@ def sa18(spark, sf):
     return by_lane.join(overall, F.lit(True)).select(F.round(F.col("a") - F.col("m"), 6).alias("gap"))  # one row each
 
 
-@query("sl7_order_sheet", "SELECT name, CAST(5000 - n AS BIGINT) AS augmentation_rows FROM (SELECT name, count(*) AS n FROM (SELECT unnest(cells) AS name FROM $celled) GROUP BY name) WHERE n < 5000")
+@query("sl7_order_sheet", "SELECT name, CAST(1000000 - n AS BIGINT) AS augmentation_rows FROM (SELECT name, count(*) AS n FROM (SELECT unnest(cells) AS name FROM $celled) GROUP BY name) WHERE n < 1000000")
 def sl7(spark, sf):
     counts = celled(spark, sf).select(F.explode("cells").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    return counts.where("n < 5000").select("name", (F.lit(5000) - F.col("n")).alias("augmentation_rows"))
+    return counts.where("n < 1000000").select("name", (F.lit(1_000_000) - F.col("n")).alias("augmentation_rows"))
 
 
 @query("sl11_class_draw")

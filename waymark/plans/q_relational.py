@@ -393,7 +393,7 @@ def jn12(spark, sf):
 
 @query("jn13_arm_pivot", "SELECT o_custkey AS pair_id, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS common, CAST(count(*) FILTER (o_orderstatus = 'O') AS BIGINT) AS rare FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey")
 def jn13(spark, sf):
-    rows = t(spark, sf, "orders").select(F.col("o_custkey").alias("pair_id"), F.col("o_orderstatus").alias("arm"))
+    rows = t(spark, sf, "orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_custkey").alias("pair_id"), F.col("o_orderstatus").alias("arm"))
     return rows.groupBy("pair_id").pivot("arm", ["F", "O"]).count().fillna(0).withColumnsRenamed({"F": "common", "O": "rare"})
 
 
@@ -464,9 +464,9 @@ def tk3(spark, sf):
     return top.select("o_orderkey", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("o_totalprice"), "o_custkey", "o_orderkey")).cast("long").alias("place"))
 
 
-@query("tk4_hungry_first", "SELECT cell, missing, row_number() OVER (ORDER BY missing DESC, cell) AS place FROM (SELECT cell, 3000 - count(*) AS missing FROM (SELECT unnest(cells) AS cell FROM $celled) GROUP BY cell) WHERE missing > 0")
+@query("tk4_hungry_first", "SELECT cell, missing, row_number() OVER (ORDER BY missing DESC, cell) AS place FROM (SELECT cell, 1000000 - count(*) AS missing FROM (SELECT unnest(cells) AS cell FROM $celled) GROUP BY cell) WHERE missing > 0")
 def tk4(spark, sf):
-    counts = celled(spark, sf).select(F.explode("cells").alias("cell")).groupBy("cell").agg((F.lit(3000) - F.count("*")).alias("missing")).where("missing > 0")
+    counts = celled(spark, sf).select(F.explode("cells").alias("cell")).groupBy("cell").agg((F.lit(1_000_000) - F.count("*")).alias("missing")).where("missing > 0")
     return counts.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("missing"), "cell")).cast("long"))
 
 

@@ -72,7 +72,7 @@ X.SQL["word_share"] = "SELECT term, df, df / (SELECT count(*) FROM documents) AS
 
 
 @query("fn1_token_rarity", """
-SELECT query_id, round(coalesce(min(z), 0), 6) AS min_zipf, round(coalesce(avg(z), 0), 6) AS mean_zipf, round(coalesce(max(z), 0), 6) AS max_zipf, round(coalesce(avg(CASE WHEN z < 3 THEN 1.0 ELSE 0.0 END), 0), 6) AS rare_share, round(coalesce(avg(CASE WHEN z = 0 THEN 1.0 ELSE 0.0 END), 0), 6) AS unknown_share
+SELECT query_id, round(coalesce(min(z), 0), 6) AS min_zipf, round(coalesce(sum(CAST(round(z * 1000000) AS BIGINT)) / count(*) / 1000000, 0), 5) AS mean_zipf, round(coalesce(max(z), 0), 6) AS max_zipf, round(coalesce(avg(CASE WHEN z < 3 THEN 1.0 ELSE 0.0 END), 0), 6) AS rare_share, round(coalesce(avg(CASE WHEN z = 0 THEN 1.0 ELSE 0.0 END), 0), 6) AS unknown_share
 FROM (SELECT query_id, coalesce(round(log10(share * 1e6), 6), 0) AS z FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM $queries) q LEFT JOIN (SELECT * FROM $word_share WHERE df > 2) w USING (term)) GROUP BY query_id""")
 def fn1(spark, sf):
     """Rarity of query tokens against the corpus' own document shares."""
@@ -82,7 +82,7 @@ def fn1(spark, sf):
     asked = X.search_queries(spark, sf).select("query_id", F.explode(T.tokens(F.col("query"))).alias("term")).join(zipf, "term", "left")
     z = F.coalesce("z", F.lit(0.0))
     r = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n)
-    return asked.groupBy("query_id").agg(r(F.min(z), "min_zipf"), r(F.avg(z), "mean_zipf"), r(F.max(z), "max_zipf"), r(R.share(z < 3), "rare_share"), r(R.share(z == 0), "unknown_share"))
+    return asked.groupBy("query_id").agg(r(F.min(z), "min_zipf"), F.round(F.coalesce(F.sum(F.round(z * 1_000_000).cast("long")) / F.count("*") / 1_000_000, F.lit(0.0)), 5).alias("mean_zipf"), r(F.max(z), "max_zipf"), r(R.share(z < 3), "rare_share"), r(R.share(z == 0), "unknown_share"))
 
 
 @query("fn2_character_shape", r"""

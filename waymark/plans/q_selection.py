@@ -16,7 +16,6 @@ from waymark.plans import fixtures as X
 from waymark.plans.define import query
 from waymark.plans.q_labels import classified, paired
 from waymark.plans.q_relational import ORDER, celled, generated
-from waymark.plans.q_retrieval import FLAGS
 
 EVERY = W.partitionBy(F.lit(0))
 
@@ -252,10 +251,10 @@ def sl36(spark, sf):
     return S.matched_draw(pool, other.groupBy("dataset").agg(F.count("*").alias("want")), ["dataset"], "arm", "query_id", avoid=F.col("reused")).select("query_id", "reused")
 
 
-@query("sl38_parent_pool", "SELECT CAST(c_custkey AS VARCHAR) AS parent FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0)")
+@query("sl38_parent_pool", "SELECT CAST(c_custkey AS VARCHAR) AS parent FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND c_custkey NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 = 0)")
 def sl38(spark, sf):
     c = X.table(spark, sf, "customer").select("c_custkey")
-    c = O.difference(c, X.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    c = O.difference(c, X.table(spark, sf, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
     return O.difference(c, X.table(spark, sf, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("c_custkey")), "c_custkey").select(F.col("c_custkey").cast("string").alias("parent"))
 
 
@@ -532,10 +531,9 @@ def gv11(spark, sf):
     return inherited.unionByName(g.where("operator = 'swap'").select("child", F.col("generated_from").alias("doc_id"), F.lit(2.0).alias("relevance"), F.lit("constructed").alias("source")))
 
 
-@query("gv12_surface_mining", r"SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'https?://[^\s""<>]+')) AS surface FROM pages".replace('""', '"'))
+@query("gv12_surface_mining", "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '[A-Z][a-z]{5,}'))) AS surface FROM pages")
 def gv12(spark, sf):
-    pattern = FLAGS["uri"].replace("[^\\s]+", '[^\\s"<>]+')
-    found = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))))
+    found = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit("[A-Z][a-z]{5,}"), F.lit(0))))
     return X.table(spark, sf, "pages").select("page_id", found.alias("surface"))
 
 
