@@ -67,3 +67,22 @@ def tail_spread(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     worst = F.when(F.col("routes") < F.col("all_routes"), F.greatest("worst", "longest")).otherwise(F.col("worst"))
     out = rows.withColumn("spread", (worst - F.col("best")).cast("long")).where("spread > 0")
     return out.join(gold.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "spread")
+
+
+def widest_gap(rankings: DataFrame, qrels: DataFrame, a: str, b: str, k: int = DEPTH) -> DataFrame:
+    """(query_id, gap): the largest lead in binary ndcg that route ``a`` could have over ``b`` if unjudged documents of either list turned out relevant.
+
+    Documents help in the order of their difference in weight, so running sums over that order contain the best choice."""
+    weight = lambda r: F.max(F.when((F.col("route") == r) & (F.col("rank") <= k), 1.0 / F.log2(F.col("rank") + 1)).otherwise(0.0))
+    docs = rankings.groupBy("query_id", "doc_id").agg((weight(a) - weight(b)).alias("w"))
+    known = qrels.select("query_id", "doc_id", F.lit(True).alias("judged"))
+    rows = docs.join(known, ["query_id", "doc_id"], "left")
+    base = rows.groupBy("query_id").agg(F.sum(F.when(F.col("judged"), F.col("w")).otherwise(0.0)).alias("base"))
+    counts = qrels.groupBy("query_id").agg(F.count("*").alias("n"))
+    order = W.partitionBy("query_id").orderBy(F.desc("w"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    added = rows.where("judged IS NULL AND w > 0").withColumns({"s": F.sum("w").over(order), "m": F.count("*").over(order)}).select("query_id", "s", "m")
+    steps = added.unionByName(base.select("query_id", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("m")))
+    met = steps.join(base, "query_id").join(counts, "query_id", "left")
+    ideal_of = F.aggregate(F.sequence(F.lit(1), F.least(F.coalesce("n", F.lit(0)) + F.col("m"), F.lit(k)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1))
+    total = F.coalesce("n", F.lit(0)) + F.col("m")
+    return met.groupBy("query_id").agg(F.round(F.max(F.when(total > 0, (F.col("base") + F.col("s")) / ideal_of).otherwise(0.0)), 6).alias("gap"))

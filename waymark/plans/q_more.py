@@ -21,7 +21,10 @@ from waymark.plans.q_labels import classified
 from waymark.plans.q_relational import celled, generated, t
 from waymark.plans.q_retrieval import assessed, label_qrels, rankings
 
-EVERY = W.partitionBy(F.lit(0))
+
+def every():
+    """All rows as one window; only over tables of lanes, cells or bounded draws."""
+    return W.partitionBy(F.lit(0))
 _NUMBER = "CAST('0x' || substring(md5({}), 1, 7) AS BIGINT)"
 
 
@@ -108,7 +111,7 @@ m AS (SELECT b, avg(m) AS m FROM (SELECT b, slot, sum(s) / sum(n) AS m FROM i JO
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS se FROM m""")
 def sa2(spark, sf):
     sums = X.labelled(spark, sf).groupBy("dataset", "cluster").agg(F.count("*").alias("n"), F.sum(L.top()).alias("total"))
-    clusters = sums.select((F.dense_rank().over(EVERY.orderBy("dataset")) - 1).alias("lane"), (F.row_number().over(W.partitionBy("dataset").orderBy("cluster")) - 1).alias("place"), "n", "total")
+    clusters = sums.select((F.dense_rank().over(every().orderBy("dataset")) - 1).alias("lane"), (F.row_number().over(W.partitionBy("dataset").orderBy("cluster")) - 1).alias("place"), "n", "total")
     return A.interval(A.two_level_bootstrap(clusters, 60, "two"))
 
 
@@ -193,14 +196,14 @@ def sl17(spark, sf):
 @query("sl29_floors_from_dials", "SELECT name, CAST(greatest(50, ceil(0.4::DOUBLE * 1200 / count(*) OVER ())) AS BIGINT) AS floor FROM (SELECT DISTINCT unnest(cells) AS name FROM $celled)")
 def sl29(spark, sf):
     names = celled(spark, sf).select(F.explode("cells").alias("name")).distinct()
-    return names.select("name", F.greatest(F.lit(50), F.ceil(F.lit(0.4 * 1200) / F.count("*").over(EVERY))).alias("floor"))
+    return names.select("name", F.greatest(F.lit(50), F.ceil(F.lit(0.4 * 1200) / F.count("*").over(every()))).alias("floor"))
 
 
 @query("sl32_label_run_publish", "SELECT row_number() OVER (ORDER BY md5('pub:' || query_id), query_id) AS place, query_id, cheap AS route FROM $labelled WHERE depth = 3")
 def sl32(spark, sf):
     """Exactly one label for each planned row and no others, in plan order."""
     rows = X.labelled(spark, sf).where("depth = 3")
-    plan = rows.select("query_id", F.row_number().over(EVERY.orderBy(O.draw_key("pub", "query_id"), "query_id")).cast("long").alias("place"))
+    plan = rows.select("query_id", F.row_number().over(every().orderBy(O.draw_key("pub", "query_id"), "query_id")).cast("long").alias("place"))
     made = rows.select("query_id", L.derive_route().alias("route"))
     O.require_none(O.difference(plan, made, "query_id"), "planned rows without a label")
     O.require_none(O.difference(made, plan, "query_id"), "labels nobody planned")
@@ -315,3 +318,65 @@ def sc30(spark, sf):
     keys = ["dataset", "query_id"]
     a = X.triples(spark, sf).select(*keys, F.lit("first").alias("source"))
     return O.priority_union([a, X.second_triples(spark, sf).where(F.col("score_pure_rrf") >= 0.3).select(*keys, F.lit("second").alias("source"))], keys)
+
+
+@query("pf3_cell_loader", "SELECT * FROM (VALUES ('dense_high', 1, 0), ('fused_mid', 1, 0), ('sparse_low', 1, 2)) AS c(name, bands, alternatives)")
+def pf3(spark, sf):
+    cells = B.load_cells([{"name": "dense_high", "predicate": [["d", 0.7]]}, {"name": "fused_mid", "predicate": [["p", 0.3, 0.7]]}, {"name": "sparse_low", "predicate": [["s", None, 0.2]], "any_of": [[["p", 0.5]], [["d", 0.5]]]}])
+    return spark.createDataFrame([(c.name, len(c.predicate), len(c.any_of)) for c in cells], "name string, bands int, alternatives int")
+
+
+@query("pf16_post_label_refusal", "SELECT query_id, depth FROM $labelled WHERE depth > 3")
+def pf16(spark, sf):
+    """Candidates may not carry what only labelling can know."""
+    rows = X.labelled(spark, sf).where("depth > 3").select("query_id", "depth")
+    return O.require(rows, ["query_id", "depth"], forbidden=["route", "score", "shape", "oracle", "margin", "winner", "serve"])
+
+
+@query("wn7_history_prefix", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM conversations")
+def wn7(spark, sf):
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.count("*").over(before).alias("earlier"))
+
+
+@query("tk2_route_fetch_limit", "SELECT query_id, route, doc_id FROM $ranks WHERE rank <= 15")
+def tk2(spark, sf):
+    return rankings(spark, sf).where("rank <= 15").select("query_id", "route", "doc_id")
+
+
+@query("sa5_paired_interval")
+def sa5(spark, sf):
+    """Mean difference of two routes on the same queries, with a bootstrap interval."""
+    rows = X.triples(spark, sf).select(F.col("query_id").alias("key"), (L.score("pure_rrf") - L.score("dense_only")).alias("d"))
+    return A.interval(A.paired_bootstrap(rows, 200, "audit"))
+
+
+@query("sa6_power")
+def sa6(spark, sf):
+    """Power at several effects for the standard error that the lane bootstrap gives."""
+    lanes = X.triples(spark, sf).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(L.top()).alias("total"))
+    se = A.interval(A.lane_bootstrap(lanes.withColumn("position", F.row_number().over(every().orderBy("dataset")) - 1), 200, "power")).first()["se"]
+    rows = [(d, round(A.power(d, max(se or 0.0, 1e-9)), 9)) for d in (0.02, 0.03, 0.05, 0.1)]
+    return spark.createDataFrame(rows, "effect double, power double")
+
+
+@query("sl18_requirement_composer")
+def sl18(spark, sf):
+    """The most under-covered requirement first; each lane holds a fixed share of the target at most."""
+    from math import ceil
+
+    target, kappa = 90, 0.25
+    rows = celled(spark, sf).where(F.size("cells") > 0).where("depth = 1")
+    shaped = rows.select(F.col("query_id").alias("row_id"), F.col("dataset").alias("lane"), F.coalesce("stage", F.lit("none")).alias("family"), F.col("cells").alias("strata"), F.split("query_id", ":").alias("tokens"))
+    floors = {c: max(25, int(0.5 * target / 3)) for c in ("dense_high", "fused_mid", "sparse_low")}
+    budgets = dict.fromkeys(("A-F", "N-F", "N-O", "R-F", "A-O", "R-O"), ceil(kappa * target))
+    return shaped.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: S.compose(pdf, floors, budgets, target, theta=0.0), "row_id string, stratum string, lane string, theta double, rank long")
+
+
+@query("nb6_widest_gap", """
+WITH d AS (SELECT query_id, doc_id, max(CASE WHEN route = 'dense_only' AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) - max(CASE WHEN route = 'sparse_only' AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) AS w FROM $ranks GROUP BY ALL),
+r AS (SELECT d.*, l.doc_id IS NOT NULL AS judged FROM d LEFT JOIN $rel l ON d.query_id = l.query_id AND d.doc_id = l.doc_id), b AS (SELECT query_id, sum(CASE WHEN judged THEN w ELSE 0 END) AS base FROM r GROUP BY query_id), n AS (SELECT query_id, count(*) AS n FROM $rel GROUP BY query_id),
+s AS (SELECT query_id, sum(w) OVER (PARTITION BY query_id ORDER BY w DESC, doc_id ROWS UNBOUNDED PRECEDING) AS s, count(*) OVER (PARTITION BY query_id ORDER BY w DESC, doc_id ROWS UNBOUNDED PRECEDING) AS m FROM r WHERE NOT judged AND w > 0 UNION ALL SELECT query_id, 0, 0 FROM b)
+SELECT s.query_id, round(max(CASE WHEN coalesce(n, 0) + m > 0 THEN (base + s) / list_sum(list_transform(range(1, least(coalesce(n, 0) + m, 10) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END), 6) AS gap FROM s JOIN b ON s.query_id = b.query_id LEFT JOIN n ON s.query_id = n.query_id GROUP BY s.query_id""")
+def nb6(spark, sf):
+    return M.widest_gap(rankings(spark, sf), label_qrels(spark, sf), "dense_only", "sparse_only")

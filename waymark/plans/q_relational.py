@@ -13,8 +13,11 @@ from waymark.plans.define import query
 from waymark.plans.q_labels import classified
 
 KEYS = ["dataset", "query_id"]
-ORDER = F.split("query_id", ":")[0].cast("long")
-LINE = F.split("query_id", ":")[1].cast("int")
+
+
+def order():
+    """The order number in a query id."""
+    return F.split("query_id", ":")[0].cast("long")
 
 
 def t(spark, sf, name):
@@ -548,7 +551,7 @@ def st5(spark, sf):
 @query("st6_intersect_counts", "SELECT greatest((SELECT count(*) FROM (SELECT query_id FROM $labelled WHERE depth > 1 INTERSECT SELECT query_id FROM $labelled WHERE o % 2 = 0)) - (SELECT count(*) FROM $labelled WHERE depth = 4), 0) AS ready")
 def st6(spark, sf):
     rows = X.labelled(spark, sf)
-    both = rows.where("depth > 1").select("query_id").intersect(rows.where(ORDER % 2 == 0).select("query_id"))
+    both = rows.where("depth > 1").select("query_id").intersect(rows.where(order() % 2 == 0).select("query_id"))
     counted = both.select(F.lit(1).alias("n")).unionByName(rows.where("depth = 4").select(F.lit(-1).alias("n")))
     return counted.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)).alias("ready"))
 
@@ -576,7 +579,7 @@ def st9(spark, sf):
 @query("st10_leak_fence", "SELECT query_id FROM $labelled WHERE cluster IN (SELECT cluster FROM $labelled WHERE o % 50 = 0) OR o IN (SELECT o FROM $labelled WHERE o % 50 = 0)")
 def st10(spark, sf):
     """All rows that share a cluster or a family with the reserve."""
-    rows = X.labelled(spark, sf).withColumn("family", ORDER)
+    rows = X.labelled(spark, sf).withColumn("family", order())
     reserve = rows.where("family % 50 = 0")
     return O.subset(rows, reserve, "cluster").unionByName(O.subset(rows, reserve, "family")).select("query_id").distinct()
 
@@ -584,8 +587,8 @@ def st10(spark, sf):
 @query("st11_leak_share", "SELECT round(avg(CASE WHEN cluster IN (SELECT cluster FROM $labelled WHERE o % 5 > 0 AND o % 3 = 0) THEN 1.0 ELSE 0.0 END), 6) AS leak FROM $labelled WHERE o % 5 = 0")
 def st11(spark, sf):
     rows = X.labelled(spark, sf)
-    train = rows.where((ORDER % 5 > 0) & (ORDER % 3 == 0)).select("cluster").distinct().withColumn("there", F.lit(True))
-    return rows.where(ORDER % 5 == 0).join(train, "cluster", "left").agg(F.round(R.share(F.col("there").isNotNull()), 6).alias("leak"))
+    train = rows.where((order() % 5 > 0) & (order() % 3 == 0)).select("cluster").distinct().withColumn("there", F.lit(True))
+    return rows.where(order() % 5 == 0).join(train, "cluster", "left").agg(F.round(R.share(F.col("there").isNotNull()), 6).alias("leak"))
 
 
 @query("st12_set_algebra", "SELECT query_id, array_to_string(list_sort(list_filter(['dense_high', 'fused_mid', 'sparse_low'], lambda x: NOT list_contains(cells, x))), ',') AS uncovered, list_contains(cells, 'fused_mid') AS mid FROM $celled")

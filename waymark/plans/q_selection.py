@@ -15,13 +15,16 @@ from waymark.operators import statistics as A
 from waymark.plans import fixtures as X
 from waymark.plans.define import query
 from waymark.plans.q_labels import classified, paired
-from waymark.plans.q_relational import ORDER, celled, generated
+from waymark.plans.q_relational import celled, generated, order
 
-EVERY = W.partitionBy(F.lit(0))
+
+def every():
+    """All rows as one window; only over tables of lanes, cells or bounded draws."""
+    return W.partitionBy(F.lit(0))
 
 
 def labelled(spark, sf):
-    return X.labelled(spark, sf).withColumn("o", ORDER)
+    return X.labelled(spark, sf).withColumn("o", order())
 
 
 @query("st7_connected_components", "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey - c_custkey % 7 AS b FROM customer WHERE c_custkey % 3 > 0 UNION SELECT DISTINCT c_custkey, c_custkey - 21 FROM customer WHERE c_custkey % 105 = 0 AND c_custkey > 21), u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r(node, part) AS (SELECT a, a FROM u UNION SELECT u.b, r.part FROM r JOIN u ON r.node = u.a AND r.part < u.b) SELECT node, min(part) AS part FROM r GROUP BY node")
@@ -129,11 +132,11 @@ def sl15(spark, sf):
 @query("sl19_requirements", "SELECT DISTINCT cell, CAST(greatest(25, floor(0.5::DOUBLE * 600 / count(*) OVER ())) AS BIGINT) AS floor FROM (SELECT DISTINCT unnest(cells) AS cell FROM $celled)")
 def sl19(spark, sf):
     names = celled(spark, sf).select(F.explode("cells").alias("cell")).distinct()
-    return names.select("cell", F.greatest(F.lit(25), F.floor(F.lit(0.5 * 600) / F.count("*").over(EVERY))).cast("long").alias("floor"))
+    return names.select("cell", F.greatest(F.lit(25), F.floor(F.lit(0.5 * 600) / F.count("*").over(every()))).cast("long").alias("floor"))
 
 
 def _composer_rows(spark, sf):
-    rows = celled(spark, sf).where(F.size("cells") > 0).where(ORDER % 3 == 0)
+    rows = celled(spark, sf).where(F.size("cells") > 0).where(order() % 3 == 0)
     return rows.select(F.col("query_id").alias("row_id"), F.col("dataset").alias("lane"), F.coalesce("stage", F.lit("none")).alias("family"), F.col("cells").alias("strata"), F.split("query_id", ":").alias("tokens"))
 
 
@@ -291,7 +294,7 @@ def sm3(spark, sf):
 def sm4(spark, sf):
     """Folds by lane counts; each row is a test row of its own lane's fold and a training row of all others."""
     counts = X.triples(spark, sf).groupBy(F.col("dataset").alias("fold")).agg(F.count("*").alias("test"))
-    return counts.select("fold", "test", (F.sum("test").over(EVERY) - F.col("test")).alias("train"))
+    return counts.select("fold", "test", (F.sum("test").over(every()) - F.col("test")).alias("train"))
 
 
 @query("sm5_cluster_split", "SELECT query_id, coalesce(s, 0) < 0.2::DOUBLE * t AS is_test FROM $labelled JOIN (SELECT dataset, cluster, sum(n) OVER (PARTITION BY dataset ORDER BY md5('cl:' || dataset || ':' || CAST(cluster AS VARCHAR)), cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, sum(n) OVER (PARTITION BY dataset) AS t FROM (SELECT dataset, cluster, count(*) AS n FROM $labelled GROUP BY ALL)) USING (dataset, cluster)")
@@ -339,7 +342,7 @@ WITH l AS (SELECT row_number() OVER (ORDER BY dataset) - 1 AS p, count(*) AS n,
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS se FROM r""")
 def sa1(spark, sf):
     lanes = X.triples(spark, sf).groupBy("dataset").agg(F.count("*").alias("n"), F.sum(L.top()).alias("total"))
-    return A.interval(A.lane_bootstrap(lanes.withColumn("position", F.row_number().over(EVERY.orderBy("dataset")) - 1), 300, "boot"))
+    return A.interval(A.lane_bootstrap(lanes.withColumn("position", F.row_number().over(every().orderBy("dataset")) - 1), 300, "boot"))
 
 
 @query("sa3_paired_bootstrap")
@@ -548,7 +551,7 @@ def gv13(spark, sf):
 def gv15(spark, sf):
     q = X.qrels(spark, sf)
     left = O.difference(q, q.where("relevance = 2"), ["query_id", "doc_id"])
-    return left.select("query_id", "doc_id", F.floor((F.row_number().over(EVERY.orderBy("query_id", "doc_id")) - 1) / 10).alias("chunk"))
+    return left.select("query_id", "doc_id", F.floor((F.row_number().over(every().orderBy("query_id", "doc_id")) - 1) / 10).alias("chunk"))
 
 
 @query("gv16_judge_cost", "SELECT CAST(sum(length(text) // 3) AS BIGINT) AS tokens, round(sum(length(text) // 3) * 2e-6::DOUBLE, 6) AS dollars FROM $qrels JOIN $corpus USING (doc_id)")
