@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -65,12 +67,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; it only sizes partitions, never results."""
-    try:
-        return min(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), 1 << 55)
-    except Exception:  # a plan without statistics
-        return 1 << 30
+def settled(scan):
+    """``scan`` for ``mapInArrow``; when it ends, what it freed goes back to the system.
+
+    Python workers outlive their tasks and share an executor's memory with what runs next."""
+
+    def run(batches):
+        yield from scan(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def texts(column: pa.Array) -> list[bytes | None]:

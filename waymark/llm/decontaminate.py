@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import steps, texts
+from waymark.llm.common import settled, steps, texts
 
 WINDOW = 10
 #: A block of the benchmark is broadcast alone, so its size has this bound (one longer item excepted).
@@ -162,7 +162,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
                 ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Staged, read
+from waymark.llm.common import Staged, read, settled
 from waymark.llm.tokens import tokenize
 
 END_ID = 2
@@ -143,7 +143,7 @@ def _count(tokens: DataFrame) -> dict[int, int]:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], ["id", "n"])
 
-    rows = tokens.select("width", "ids").mapInArrow(partial, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.select("width", "ids").mapInArrow(settled(partial), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in rows.toLocalIterator()}
 
 
@@ -167,7 +167,7 @@ def _renumbered(tokens: DataFrame) -> DataFrame:
             total = int(ends[-1]) if len(ends) else total
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(starts), pa.int32()), pa.array(starts), *batch.columns[2:]], batch.schema.names)
 
-    return tokens.mapInArrow(scan, tokens.schema)
+    return tokens.mapInArrow(settled(scan), tokens.schema)
 
 
 @dataclass
@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
         if ids:
             yield block(part, at, names, ids, width)
 
-    coded = tokens.select("part", "start", "doc_id", "width", "ids").mapInArrow(blocks, f"shard int, {BLOCK}")
+    coded = tokens.select("part", "start", "doc_id", "width", "ids").mapInArrow(settled(blocks), f"shard int, {BLOCK}")
     coded.write.mode("overwrite").option("compression", "uncompressed").partitionBy("shard").parquet(f"{path}/blocks")
     staged.drop("tokens", "sorted")
     return TokenFiles(path, code.limit)
@@ -251,7 +251,7 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 )
 
     blocks = spark.read.schema(f"shard int, {BLOCK}").parquet(f"{files.path}/blocks")
-    return blocks.select("first_token", "n_tokens", "doc_ids", "sizes", "bits", "checkpoints").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("first_token", "n_tokens", "doc_ids", "sizes", "bits", "checkpoints").mapInArrow(settled(scan), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_huffman(spark, sf_dir):

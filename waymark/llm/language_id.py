@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import LOWER, held_out, joined, mix, read, steps, texts
+from waymark.llm.common import LOWER, held_out, joined, mix, read, settled, steps, texts
 
 NGRAM = 4
 SLOT_BITS = 18
@@ -128,7 +128,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for lang, (codes, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    grams = chosen.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = chosen.mapInArrow(settled(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     total = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = grams.join(F.broadcast(total), "lang").where(F.col("n") > F.greatest(F.lit(1), F.col("total") * MIN_SHARE))  # one row a language is broadcast
     # the share alone bounds a language's members by 1 / MIN_SHARE
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, filters: Filters, *, id_col: str = "doc_id", text_c
                 scores += [min(1.0, max(0.0, x)) if ok else 0.0 for x, ok in zip(lead.tolist(), letters, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), "doc_id long, lang_pred string, score double")
 
 
 def op10_language_id(spark, sf_dir):

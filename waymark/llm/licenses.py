@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import LOWER, joined, mix, read, steps, texts, word_hashes, word_runs
+from waymark.llm.common import LOWER, joined, mix, read, settled, steps, texts, word_hashes, word_runs
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -174,7 +174,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, i
                     matches.append([dict(zip(("license", "start", "stop", "containment"), m, strict=True)) for m in own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(matches, kind)], ["doc_id", "n_words", "matches"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, MATCHES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), MATCHES)
 
 
 def op5_licenses(spark, sf_dir):

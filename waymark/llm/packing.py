@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import read
+from waymark.llm.common import read, settled
 from waymark.llm.tokens import STORE, ids_of
 
 CAPACITY = 2048
@@ -163,7 +163,7 @@ def pack_documents(docs: DataFrame, path: str, *, end_id: int = END_ID, capacity
         yield from emit(names, held)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(scan, SCHEMA)
+    return own.mapInArrow(settled(scan), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import LOWER, held_out, joined, mix, read, steps, texts, word_hashes, word_runs
+from waymark.llm.common import LOWER, held_out, joined, mix, read, settled, steps, texts, word_hashes, word_runs
 
 BUCKETS = 1 << 18
 SAMPLE = 8000
@@ -89,7 +89,7 @@ def example(text: bytes | None, label: float) -> tuple[np.ndarray, np.ndarray, f
     features, _ = _ngrams([text], 0, 1)
     index, count = np.unique(features, return_counts=True)
     value = SCALE * count / max(1, len(features))
-    return np.append(index, BUCKETS), np.append(value, 1.0), label
+    return np.append(index, BUCKETS).astype(np.int32), np.append(value, 1.0).astype(np.float32), label
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray | None:
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         w = fit([x[2:] for x in examples])
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes() if examples else None], pa.binary())], ["w"])
 
-    row = rows.repartition(1).mapInArrow(one_task, "w binary").where("w IS NOT NULL").first()
+    row = rows.repartition(1).mapInArrow(settled(one_task), "w binary").where("w IS NOT NULL").first()
     return np.frombuffer(row["w"], np.float32) if row else None
 
 
@@ -135,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, *, id_col: str = "doc_id"
                 out[begin:end] = 1.0 / (1.0 + np.exp(-np.clip(float(w[BUCKETS]) + SCALE * sums / np.maximum(1, counts), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE, label_col: str = "quality") -> DataFrame:

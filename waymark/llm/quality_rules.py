@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Staged, read, texts
+from waymark.llm.common import Staged, read, settled, texts
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -81,7 +81,7 @@ def document_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     host = F.col(host_col).cast("string")
     domain = F.coalesce(F.nullif(F.lower(F.regexp_extract(host, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit("")), host)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), domain.alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, _COUNTS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), domain.alias("host"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), _COUNTS)
 
 
 def base_failure() -> Column:

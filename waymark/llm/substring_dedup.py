@@ -25,8 +25,6 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Staged, mix, read, texts, word_hashes, word_runs
+from waymark.llm.common import Staged, mix, read, settled, texts, word_hashes, word_runs
 
 WINDOW = 13
 CHUNK_BYTES = 4 << 20
@@ -75,7 +73,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield out()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(scan, "chunk long, size long, doc_ids array<long>, lengths array<long>, blob binary")
+    return own.mapInArrow(settled(scan), "chunk long, size long, doc_ids array<long>, lengths array<long>, blob binary")
 
 
 class Chunk:
@@ -177,7 +175,7 @@ def shared_edges(stored: DataFrame, keys: Keys, window: int) -> DataFrame:
             at += n
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "flags": pa.array(out, pa.binary())})
 
-    sent = stored.select("chunk", "lengths", "blob").mapInArrow(send, "bucket int, chunk long, n int, raw binary")
+    sent = stored.select("chunk", "lengths", "blob").mapInArrow(settled(send), "bucket int, chunk long, n int, raw binary")
     told = sent.groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, flags binary")
     return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("told"))
 
@@ -224,7 +222,7 @@ def walks(stored: DataFrame, told: DataFrame, keys: Keys, window: int) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return stored.select("chunk", "doc_ids", "lengths", "blob").join(told, "chunk", "left").mapInArrow(scan, WALK)
+    return stored.select("chunk", "doc_ids", "lengths", "blob").join(told, "chunk", "left").mapInArrow(settled(scan), WALK)
 
 
 def compact(walk: DataFrame, staged: Staged) -> DataFrame:
@@ -241,7 +239,7 @@ def compact(walk: DataFrame, staged: Staged) -> DataFrame:
                     part = h[a : a + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([path] * len(part), pa.binary()), pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array([owner] * len(part), pa.int64())], ["edge", "path", "place", "owner"])
 
-    edges = paths.select("path", "owner", "edges").mapInArrow(spread, "edge long, path binary, place int, owner long")
+    edges = paths.select("path", "owner", "edges").mapInArrow(settled(spread), "edge long, path binary, place int, owner long")
     first = edges.groupBy("edge").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where("least < most")
     first = staged.put(first, "overlaps")  # few rows, and a plain shuffle on either side lets skewed edges be split
     earlier = edges.join(first.drop("most"), "edge").where("least < owner").groupBy("path").agg(F.collect_list("place").alias("earlier"))
@@ -300,7 +298,7 @@ def cut(stored: DataFrame, cuts: DataFrame, window: int) -> DataFrame:
                         )
                         n_words, n_removed, kept, removed, size, done = [], [], [], [], 0, i + 1
 
-    return stored.select("chunk", "doc_ids", "lengths", "blob").join(cuts, "chunk", "left").mapInArrow(scan, OUT)
+    return stored.select("chunk", "doc_ids", "lengths", "blob").join(cuts, "chunk", "left").mapInArrow(settled(scan), OUT)
 
 
 def deduplicate(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

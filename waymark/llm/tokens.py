@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import settled
+
 #: Units whose ids a worker keeps; about 200 bytes each. The store starts afresh when it is full.
 STORE = 1_200_000
 
@@ -215,4 +217,4 @@ def tokenize(docs: DataFrame, path: str, end_id: int, *, id_col: str = "doc_id",
                     begin, size, out, counts = begin + n, 0, [], []
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(scan, "part int, start long, doc_id long, n_tokens long, width int, ids binary")
+    return own.mapInArrow(settled(scan), "part int, start long, doc_id long, n_tokens long, width int, ids binary")
