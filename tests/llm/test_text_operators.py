@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 
 from waymark.llm import decontaminate, licenses, quality_rules, secrets, simhash, substring_dedup
+from waymark.llm.common import Staged
 
 ODD = [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "a"), (1003, "a"), (None, "a b c"), (1004, "x" * 70000), (1005, "word " * 30000), (1006, "É\x1cß ſtr \x85 word")]
 VOCABULARY = ["the", "of", "Ärger", "x1", "and", "été", "zu", "b.", "c,d", "E"]
@@ -86,6 +87,29 @@ def test_chain_and_star_links_lose_nothing(spark):
     assert stars <= near
 
 
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_crowded_keys_lose_no_link(spark, crowd):
+    draw = random.Random(9)
+    centre, prints = draw.getrandbits(64), set()
+    for _ in range(250):  # bits that copies of one text often flip
+        p = centre
+        for b in draw.sample(range(0, 24), draw.randint(0, 3)):
+            p ^= 1 << b
+        prints.add(p)
+    prints |= {draw.getrandbits(64) for _ in range(100)}
+    signed = {simhash._signed(p): p for p in prints}
+    nodes = spark.createDataFrame([(s, i) for i, s in enumerate(sorted(signed))], "fp long, least long")
+    found = simhash.link(nodes, Staged(spark), crowd=crowd).collect()
+    want = brute.components([(s, p) for s, p in signed.items()])
+    groups = {}
+    for r in found:
+        groups.setdefault(r["whole"], set()).add(r["fp"])
+    expected = {}
+    for s, c in want.items():
+        expected.setdefault(c, set()).add(s)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_simhash_keeps_one_of_each_group(spark, empty):
     rows = corpus(5)
     docs = frame(spark, rows)

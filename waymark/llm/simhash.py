@@ -9,9 +9,9 @@ its bits, the other all values within one bit of the second segment; longer chai
 brings together.
 
 Copies share a fingerprint, so the join sees each fingerprint once, whatever the size of a
-group of copies. Fingerprints within one or two bits of each other are first linked through
-shared one-bit neighbours, as stars and not as pairs; the pigeonring join then has to link only what
-is still apart, so a dense group of near copies gives no square of pairs.
+group of copies. Where many fingerprints crowd under one key, those within one or two bits of each other are first
+linked through shared one-bit neighbours, as stars and not as pairs; the pigeonring join then has to link only
+what is still apart, so a dense group of near copies gives no square of pairs.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Staged, read, steps, texts
+from waymark.llm.common import Staged, read, settled, texts
 from waymark.llm.components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
+#: Fingerprints under one chain key from which on they are first linked as stars.
+CROWD = 32
 SEED = 42
 
 
@@ -59,7 +61,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = np.fromiter((fingerprint(v, shingle) for v in values), np.uint64, len(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), "doc_id long, fp long")
 
 
 def _bits(width: int) -> int:
@@ -98,18 +100,30 @@ def star_links(nodes: DataFrame) -> DataFrame:
     return pairs.union(rest).distinct()
 
 
+def _chains(radius: int, probing: bool) -> list[Column]:
+    """(chain, key) of every segment that a chain can start at; with ``probing``, also those one bit of the second segment away."""
+    ring, out = segments(radius), []
+    for i, first in enumerate(ring):
+        second = ring[(i + 1) % len(ring)]
+        key = F.col("fp").bitwiseAND(_mask(first | second))
+        for bit in [0, *(_one_bits(second) if probing else [])]:
+            out.append(F.struct(F.lit(i).cast("byte").alias("chain"), (key.bitwiseXOR(_mask(bit)) if bit else key).alias("key")))
+    return out
+
+
+def crowded(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """(fp): fingerprints with a chain key that more than ``crowd`` have."""
+    keyed = nodes.select("fp", F.explode(F.array(*_chains(radius, False))).alias("s")).select("fp", "s.chain", "s.key")
+    full = keyed.groupBy("chain", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("chain", "key")
+    return keyed.join(full, ["chain", "key"], "left_semi").select("fp").distinct()
+
+
 def chain_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links of ``radius`` or fewer bits between fingerprints of different ``part``, by pigeonring chains."""
     ring = segments(radius)
     n = len(ring)
-    index, probe = [], []
-    for i in range(n):
-        first, second = ring[i], ring[(i + 1) % n]
-        key = F.col("fp").bitwiseAND(_mask(first | second))
-        index.append(F.struct(F.lit(i).cast("byte").alias("chain"), key.alias("key")))
-        probe += [F.struct(F.lit(i).cast("byte").alias("chain"), key.bitwiseXOR(_mask(b)).alias("key")) for b in [0, *_one_bits(second)]]
-    left = nodes.select(F.col("fp").alias("a"), F.col("part").alias("pa"), F.explode(F.array(*index)).alias("s")).select("a", "pa", "s.chain", "s.key")
-    right = nodes.select(F.col("fp").alias("b"), F.col("part").alias("pb"), F.explode(F.array(*probe)).alias("s")).select("b", "pb", "s.chain", "s.key")
+    left = nodes.select(F.col("fp").alias("a"), F.col("part").alias("pa"), F.explode(F.array(*_chains(radius, False))).alias("s")).select("a", "pa", "s.chain", "s.key")
+    right = nodes.select(F.col("fp").alias("b"), F.col("part").alias("pb"), F.explode(F.array(*_chains(radius, True))).alias("s")).select("b", "pb", "s.chain", "s.key")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     chained = F.lit(False)
     for i in range(n):
@@ -123,6 +137,20 @@ def chain_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return joined.where(chained).where(F.bit_count(differing) <= radius).select("a", "b").distinct()
 
 
+def link(distinct: DataFrame, staged: Staged, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """(fp, least, whole): the component of every fingerprint, named by one of its fingerprints."""
+    if radius >= 2:
+        stars = connected_components(star_links(crowded(distinct, radius, crowd)), staged, "stars")
+        parts = distinct.join(stars.select(F.col("node").alias("fp"), "part"), "fp", "left")
+    else:
+        parts = distinct.withColumn("part", F.lit(None).cast("long"))
+    parts = staged.put(parts.select("fp", "least", F.coalesce("part", "fp").alias("part")), "parts")
+    links = chain_links(parts, radius)
+    ends = links.join(parts.select(F.col("fp").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("fp").alias("b"), F.col("part").alias("q")), "b")
+    merged = connected_components(ends.select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct(), staged, "chains")
+    return parts.join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left").select("fp", "least", F.coalesce("whole", "part").alias("whole"))
+
+
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable.
 
@@ -134,13 +162,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHI
     prints = staged.put(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     distinct = staged.put(nodes, "nodes")
-    stars = connected_components(star_links(distinct), staged, "stars") if radius >= 2 else None
-    parts = distinct.join(stars.select(F.col("node").alias("fp"), "part"), "fp", "left") if stars is not None else distinct.withColumn("part", F.lit(None).cast("long"))
-    parts = staged.put(parts.select("fp", "least", F.coalesce("part", "fp").alias("part")), "parts")
-    links = chain_links(parts, radius)
-    by_part = links.join(parts.select(F.col("fp").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("fp").alias("b"), F.col("part").alias("q")), "b")
-    merged = connected_components(by_part.select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct(), staged, "chains")
-    groups = parts.join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left").select("fp", "least", F.coalesce("whole", "part").alias("whole"))
+    groups = link(distinct, staged, radius)
     smallest = groups.groupBy("whole").agg(F.min("least").alias("component_id"))
     ids = groups.join(smallest, "whole").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
