@@ -26,11 +26,17 @@ def body(title: Column, text: Column) -> Column:
     return F.trim(F.concat_ws("\n\n", F.nullif(F.coalesce(title, F.lit("")), F.lit("")), F.coalesce(text, F.lit(""))))
 
 
-def postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl)."""
-    words = tokens(F.col(text_col))
-    rows = docs.select("doc_id", F.size(words).alias("dl"), F.explode(words).alias("term"))
-    return rows.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, tf); with ``terms``, of those terms only, which are picked before anything is shuffled."""
+    rows = docs.select("doc_id", F.explode(tokens(F.col(text_col))).alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, dl), apart from the postings: beside an explode the length would be computed anew for every token."""
+    return docs.select("doc_id", F.size(tokens(F.col(text_col))).alias("dl"))
 
 
 def index_statistics(docs: DataFrame, text_col: str = "text") -> tuple[int, float]:
@@ -56,10 +62,10 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, text_col: str = "text",
     """Top ``k`` documents of each query. Only postings of query terms are scored; scores are sums of millionths, so their order does not depend on the order of summing."""
     n_docs, mean = index_statistics(docs, text_col)
     asked = queries.select("query_id", F.explode(token_set(F.col(query_col))).alias("term"))
-    posted = postings(docs, text_col).join(asked.select("term").distinct(), "term", "left_semi")
+    posted = postings(docs, text_col, asked)
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
-    weighted = posted.join(frequency, "term").select("term", "doc_id", F.round(idf(n_docs, F.col("df")) * saturation * 1_000_000).cast("long").alias("w"))
+    weighted = posted.join(frequency, "term").join(lengths(docs, text_col), "doc_id").select("term", "doc_id", F.round(idf(n_docs, F.col("df")) * saturation * 1_000_000).cast("long").alias("w"))
     scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return top(scored, k)
 

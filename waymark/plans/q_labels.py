@@ -142,13 +142,12 @@ GRID = [(a, b) for a in (0.0, 0.3, 0.6) for b in (0.0, 0.5, 1.0)]
     f"CAST(count(*) FILTER (t = 'llm_a_only') AS BIGINT) AS llm_a_only, round(quantile_cont(g, 0.5), 6) AS median_margin FROM (SELECT *, {_TRUST} AS t FROM (SELECT {_winner(a, b)} AS f, {_winner(0.0, 0.0)} AS m, {_winner(0.0, b)} AS r, "
     f"list_reverse_sort([{_sum('d', a, b)}, {_sum('s', a, b)}, {_sum('p', a, b)}])[1] - list_reverse_sort([{_sum('d', a, b)}, {_sum('s', a, b)}, {_sum('p', a, b)}])[2] AS g FROM $paired))" for a, b in GRID))
 def me30(spark, sf):
-    """Every row meets the whole grid inside its own row, so nothing is crossed."""
-    def cell(a, b):
-        values = L.combined(L.d(a), L.d(b), SOURCES)
-        ranked = F.sort_array(F.array(*values), asc=False)
-        return F.struct(L.d(a).alias("alpha"), L.d(b).alias("beta"), L.trust(L.d(a), L.d(b), SOURCES).alias("t"), (F.element_at(ranked, 1) - F.element_at(ranked, 2)).alias("g"))
-
-    rows = paired(spark, sf).select(F.explode(F.array(*[cell(a, b) for a, b in GRID])).alias("c")).select("c.*")
+    """Every row meets the fixed grid by an explode, so nothing is joined."""
+    grid = F.explode(F.array(*[F.struct(L.d(a).alias("alpha"), L.d(b).alias("beta")) for a, b in GRID]))
+    points = paired(spark, sf).withColumn("point", grid).select("*", "point.*")
+    values = L.combined(F.col("alpha"), F.col("beta"), SOURCES)
+    ranked = F.sort_array(F.array(*values), asc=False)
+    rows = points.select("alpha", "beta", L.trust(F.col("alpha"), F.col("beta"), SOURCES).alias("t"), (F.element_at(ranked, 1) - F.element_at(ranked, 2)).alias("g"))
     t = F.col("t")
     return rows.groupBy("alpha", "beta").agg(
         F.round(R.share(t != "ungrounded"), 6).alias("decisive"), F.round(R.share(t.isin("measurement", "r1_assisted")), 6).alias("grounded"),
