@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -34,11 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Staged:
     """Parquet tables of one operator call in the shared folder: they cut the lineage and
-    outlive a lost executor. ``drop`` deletes what is no longer needed."""
+    outlive a lost executor. ``drop`` deletes what is no longer needed; what lazy results may still read
+    goes when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = prepare(spark)
         self.base = f"{shared_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self.drop("")
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.base}/{name}"
@@ -54,7 +61,7 @@ class Staged:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

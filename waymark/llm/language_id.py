@@ -34,14 +34,13 @@ HASHES = 2
 SAMPLE = 6000
 MIN_SHARE = 2e-6
 LANES = 64
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes | None) -> bool:
     if not text:
         return False
-    return bool(_ASCII_LETTER.search(text)) or bool(_LETTER.search(text.decode("utf-8", "ignore")))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "ignore")))
 
 
 def _grams(values: list[bytes | None], begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
