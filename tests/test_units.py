@@ -177,6 +177,13 @@ def test_paired_bootstrap_covers_the_mean(spark):
     assert got["low"] < 4.99 < got["high"] and abs(got["se"] - 3.16 / 2000**0.5) < 0.02
 
 
+def test_sums_before(spark):
+    draw = random.Random(2)
+    rows = [(x, draw.randint(0, 9)) for x in draw.sample(range(1000), 200)]
+    got = {r["x"]: r["b"] for r in statistics.sums_before(spark.createDataFrame(rows, "x int, v int").repartition(5), "x", "v", "b").collect()}
+    assert got == {x: sum(v for y, v in rows if y < x) for x, _ in rows}
+
+
 def test_serving_rule_without_fire(spark):
     df = spark.createDataFrame([(0.2, 0.1), (0.05, 0.04), (0.6, 0.7), (0.9, 0.1)], "d double, s double")
     heads = {"dense_only": F.col("d"), "sparse_only": F.col("s")}

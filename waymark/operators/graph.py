@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder; a local session without one gets a temporary folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
@@ -19,14 +20,14 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, part): the smallest node reachable over ``edges`` (a, b). Large-star and small-star steps; no neighbourhood is gathered."""
-    now, last = _checkpointed(edges.select("a", "b").where("a <> b")), None
+    now, last = checkpointed(edges.select("a", "b").where("a <> b")), None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         met = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
-        now = _checkpointed(met.select(F.col("m").alias("a"), F.col("v").alias("b")).union(met.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct())
+        now = checkpointed(met.select(F.col("m").alias("a"), F.col("v").alias("b")).union(met.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct())
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == last or not mark[0]:
             break
