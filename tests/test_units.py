@@ -236,3 +236,28 @@ def test_caches(spark, tmp_path):
     assert caches.fill_missing(spark, store, spark.range(3), "id", compute).count() == 3
     assert caches.fill_missing(spark, store, spark.range(5), "id", compute).count() == 5
     assert {r["dataset"]: r["cached"] for r in caches.registry_counts(spark, {"a": path, "b": str(tmp_path / "no")}).collect()} == {"a": 3, "b": None}
+
+
+def test_near_pairs_ask_every_vector(spark, monkeypatch):
+    """Neither id of a pair need be a multiple of ten, and ids go both ways; equal vectors are linked to their smallest id alone."""
+    import numpy as np
+
+    from waymark.operators import graph
+    from waymark.operators import retrieval as V
+
+    monkeypatch.setattr(V, "PAIR_BLOCK", 16)
+    draw = np.random.Generator(np.random.PCG64(3))
+    m = draw.normal(size=(120, 8)).astype(np.float32)
+    for a, b in ((7, 20), (11, 13), (13, 58), (99, 101)):
+        m[b] = m[a] + draw.normal(size=8) * 0.02
+    m[[31, 42, 53]] = m[5]
+    m[77] = 0
+    rows = spark.createDataFrame([(i, m[i].tolist()) for i in range(120)], "vec_id long, vector array<float>").repartition(3)
+    unit = m.astype(float) / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-12)
+    copies = {31, 42, 53}
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if a not in copies and b not in copies and unit[a] @ unit[b] > 0.95} | {(5, c) for c in copies}
+    assert {(7, 20), (11, 13), (99, 101)} <= want
+    found = V.near_pairs(rows, 0.95)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    parts = {r["node"]: r["part"] for r in graph.components(found).collect()}
+    assert parts[20] == 7 and parts[58] == parts[13] == 11 and parts[53] == 5

@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waymark.functions.text import token_set, tokens
+from waymark.operators.graph import checkpointed
 
 #: Queries of one block of vector search; a block of 64 dimensions takes 2 MB.
 BLOCK = 4096
+#: Vectors of one side of a block pair in the search for near pairs.
+PAIR_BLOCK = 2048
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -103,6 +106,45 @@ def vector_rank(queries: DataFrame, docs: DataFrame, k: int, *, dims: int | None
     return top(scored, k)
 
 
+def near_pairs(vectors: DataFrame, bound: float) -> DataFrame:
+    """(a, b), a < b, from (vec_id, vector): every pair of different vectors with a cosine above ``bound``, each equal vector standing under
+    its smallest id, and that id with each id of an equal vector.
+
+    Vectors are packed into blocks and every block meets itself and each later one, so no side is collected or broadcast; the work is
+    quadratic, the rows are those pairs. Vectors of length zero, null ones and null ids have no pairs.
+    """
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where("vec_id IS NOT NULL AND vector IS NOT NULL")
+    own = own.where(F.exists("vector", lambda x: x != 0))
+    n_blocks = -(-own.count() // PAIR_BLOCK)
+    classes = own.groupBy("vector").agg(F.min("vec_id").alias("a"))
+    equal = own.join(classes, "vector").where("a < vec_id").select("a", F.col("vec_id").alias("b")).distinct()
+
+    def pack(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, PAIR_BLOCK):
+                part = batch.slice(begin, PAIR_BLOCK)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                matrix = np.array(part.column(1).to_pylist(), "<f8")
+                matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], ["block", "ids", "rows"])
+
+    def compare(batches):
+        for batch in batches:
+            for block, ids, rows, other, other_ids, other_rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left, right = np.frombuffer(ids, "<i8"), np.frombuffer(other_ids, "<i8")
+                scores = np.frombuffer(rows, "<f8").reshape(len(left), -1) @ np.frombuffer(other_rows, "<f8").reshape(len(right), -1).T
+                i, j = np.nonzero(scores > bound)
+                if block == other:
+                    i, j = i[i < j], j[i < j]
+                a, b = left[i], right[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    # a block is named by its first id, which no other block holds; few partitions, as each meets all others
+    blocks = checkpointed(classes.select("a", "vector").coalesce(max(1, n_blocks)).mapInArrow(pack, "block long, ids binary, rows binary"))
+    others = blocks.select(F.col("block").alias("other"), F.col("ids").alias("other_ids"), F.col("rows").alias("other_rows"))
+    return blocks.crossJoin(others).where("block <= other").mapInArrow(compare, "a long, b long").union(equal)
+
+
 def rrf(a: DataFrame, b: DataFrame, k: int, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two rankings."""
     both = a.select("query_id", "doc_id", "rank").unionByName(b.select("query_id", "doc_id", "rank"))

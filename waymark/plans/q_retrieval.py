@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from waymark.functions import bands as B
 from waymark.functions import labels as L
 from waymark.functions import text as T
+from waymark.operators import graph
 from waymark.operators import metrics as M
 from waymark.operators import relational as O
 from waymark.operators import reports as R
@@ -454,6 +455,28 @@ def jn16(spark, sf):
     return near.where("score > 0.35 AND query_id < doc_id").select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"))
 
 
+NEAR = 0.95  # cosine above which SURVEY's JN16 and ST7 take vectors for near-duplicates
+X.SQL["near"] = f"""WITH v AS (SELECT embedding, min(vec_id) AS a FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY embedding)
+SELECT q.a, d.a AS b FROM v q, v d WHERE q.a < d.a AND {_cosine(64).removeprefix("round(").removesuffix(", 6)")} > {NEAR}::DOUBLE UNION ALL SELECT a, vec_id FROM v JOIN embeddings e ON v.embedding = e.embedding WHERE a < vec_id"""
+
+
+def near_duplicates(spark, sf):
+    return V.near_pairs(X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), NEAR)
+
+
+@query("jn16_near_duplicate_pairs", "SELECT a, b FROM $near")
+def jn16_whole(spark, sf):
+    """All near-duplicates among all vectors; equal vectors are linked to their smallest id, which stands for them in all other pairs."""
+    return near_duplicates(spark, sf)
+
+
+@query("st7_near_duplicate_clusters", "WITH RECURSIVE e AS (SELECT a, b FROM $near), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, part) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT u.b, r.part FROM r JOIN u ON r.node = u.a AND r.part < u.b) SELECT node, min(part) AS part FROM r GROUP BY node")
+def st7_whole(spark, sf):
+    """The near-duplicate cluster of every vector, by its smallest id; a vector without near-duplicates is its own."""
+    parts = graph.components(near_duplicates(spark, sf))
+    return X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node")).distinct().join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+
+
 @query("ag21_cell_divergence", "SELECT CAST(query_id % 3 AS INTEGER) AS cell, count(*) AS rows, round(avg(j), 6) AS mean_jaccard, round(quantile_cont(j, 0.5), 6) AS median_jaccard FROM (SELECT query_id, count(*) FILTER (n = 2) / count(*) AS j FROM (SELECT query_id, doc_id, count(*) AS n FROM $ranks WHERE route <> 'pure_rrf' AND rank <= 10 GROUP BY ALL) GROUP BY query_id) GROUP BY 1")
 def ag21(spark, sf):
     """How far the first ten of two routes differ, by cell."""
