@@ -39,6 +39,16 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string")
 
 
+def test_long_tokens_are_linked(spark):
+    """A weak secret has no greatest length."""
+    token = "aB3dE5gH7jK9mN1pQ3sT" * 20
+    rows = [(1, f"https://a.example.com/x {token} end"), (2, f"user=alice {token}=="), (3, f"only {token}"), (4, f"user=alice {'aB3' * 40000}"), (5, f"user=alice {token}===")]
+    found = {r["doc_id"]: r["s"] for r in secrets.scan(frame(spark, rows)).select("doc_id", secrets.spans_text(F.col("spans")).alias("s")).collect()}
+    assert found == {1: "secret:24:424", 2: "identifier:0:10,secret:11:413", 3: "", 4: "identifier:0:10,secret:11:120011", 5: ""}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert masked[1] == "https://a.example.com/x [secret] end" and masked[3] == rows[2][1]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_contamination(spark, seed, block_bytes):
