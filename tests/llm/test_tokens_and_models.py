@@ -28,6 +28,22 @@ def test_units_give_the_tokenizers_ids(path):
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_added_tokens_get_their_ids(path):
+    """Ids are those of the library's plain call, one text at a time and in columns."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    draw, own, plain = random.Random(2), Encoder(path, store=500), Tokenizer.from_file(path)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "Bar", " ", "  ", "\n", "\t", "é", "."]
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>\u0338b", *("".join(draw.choice(marks) for _ in range(draw.randint(0, 12))) for _ in range(1500))]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(own.encode(t), own.dtype).tolist() for t in texts] == want
+    ids, stops = own.encode_all(pa.array(texts), 7)
+    assert [x.tolist() for x in np.split(ids, stops[:-1])] == [[*w, 7] for w in want]
+    assert plain.token_to_id("<|endoftext|>") in want[0]
+
+
 @pytest.mark.parametrize(("symbols", "limit"), [(1, 20), (2, 20), (5, 3), (300, 9), (20000, 16)])
 def test_huffman_round_trip(symbols, limit):
     draw = np.random.default_rng(symbols)

@@ -3,8 +3,9 @@
 Two families of byte-pair tokenizers never join characters across a blank, so a text's ids are
 those of its blank-separated units in a row; a worker keeps the ids of units it has met. Where that is not
 certain (runs of white space, other tokenizers) larger units or the whole text go to the tokenizer. The ids
-are always exactly those of ``Tokenizer.encode(text, add_special_tokens=False)`` with
-``encode_special_tokens`` set; a test holds both against each other on random texts.
+are always exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``, so a text that holds the content of
+an added token (``<|endoftext|>``) gets that token's id; such texts go to the tokenizer whole. A test holds both
+against each other on random texts.
 """
 
 from __future__ import annotations
@@ -54,13 +55,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._code = {2: "H", 4: "I"}[self.dtype.itemsize]
         if sys.byteorder != "little":
             raise NotImplementedError("ids are kept in the machine's byte order")
-        self.kind = self._family(json.loads(Path(path).read_text()))
+        spec = json.loads(Path(path).read_text())
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.kind = "" if any(re.search(r"\s", x) for x in added) else self._family(spec)
+        #: What may hold an added token; in any case, as normalizers may lower it.
+        self._added = "(?i)" + "|".join(map(re.escape, added)) if added else ""
+        self._holds_added = re.compile(self._added).search if added else lambda _: None
         letters = _byte_letters()
         self._seen = [letters[b] for b in range(256)]
         encode, store_limit = self._encode_unit, store
@@ -113,7 +118,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.kind:
+        if not self.kind or self._holds_added(text):
             return self.whole(text) if text else b""
         if any(x in text for x in _ODD_WHITE):
             return b"".join(map(self.bare.__getitem__, _RUNS.findall(text)))
@@ -133,6 +138,8 @@ class Encoder:
         column = pc.fill_null(column, "")
         odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
         last = np.array([end_id], self.dtype).tobytes()
+        if self._added:
+            odd = odd | pc.match_substring_regex(column, self._added).to_numpy(zero_copy_only=False)
         if not self.kind:
             odd[:] = True
         plain = pc.if_else(pa.array(~odd), column, "")
