@@ -261,3 +261,22 @@ def test_near_pairs_ask_every_vector(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     parts = {r["node"]: r["part"] for r in graph.components(found).collect()}
     assert parts[20] == 7 and parts[58] == parts[13] == 11 and parts[53] == 5
+
+
+@pytest.mark.parametrize("theta", [0.7, 0.0])
+def test_shortlist_changes_no_choice(spark, theta):
+    draw = random.Random(4)
+    rows = [(f"{o}:{n}", draw.choice("AB"), draw.choice("st"), draw.choice([["x"], ["y"], ["x", "y"]]), [str(o), str(n)]) for o in range(1, 400) for n in (1, 2)]
+    names = "row_id string, lane string, family string, strata array<string>, tokens array<string>"
+    short = selection.shortlist(spark.createDataFrame(rows, names), 5).toPandas()
+    every = pd.DataFrame(rows, columns=["row_id", "lane", "family", "strata", "tokens"])
+    args = ({"x": 3, "y": 4}, {"A": 3, "B": 3}, 5, theta)
+    assert 5 < len(short) < len(rows)
+    assert selection.compose(short, *args).to_dict("records") == selection.compose(every, *args).to_dict("records")
+
+
+def test_composers_see_every_order(spark):
+    from waymark.plans import q_selection
+
+    orders = {int(r["o"]) % 3 for r in q_selection._composer_rows(spark, "/root/testdata/sf0.001").select(F.element_at("tokens", 1).alias("o")).distinct().collect()}
+    assert orders == {0, 1, 2}

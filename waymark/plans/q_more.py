@@ -366,11 +366,11 @@ def sl18(spark, sf):
     from math import ceil
 
     target, kappa = 90, 0.25
-    rows = celled(spark, sf).where(F.size("cells") > 0).where("depth = 1")
+    rows = celled(spark, sf).where(F.size("cells") > 0)
     shaped = rows.select(F.col("query_id").alias("row_id"), F.col("dataset").alias("lane"), F.coalesce("stage", F.lit("none")).alias("family"), F.col("cells").alias("strata"), F.split("query_id", ":").alias("tokens"))
     floors = {c: max(25, int(0.5 * target / 3)) for c in ("dense_high", "fused_mid", "sparse_low")}
     budgets = dict.fromkeys(("A-F", "N-F", "N-O", "R-F", "A-O", "R-O"), ceil(kappa * target))
-    return shaped.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: S.compose(pdf, floors, budgets, target, theta=0.0), "row_id string, stratum string, lane string, theta double, rank long")
+    return S.shortlist(shaped, target).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: S.compose(pdf, floors, budgets, target, theta=0.0), "row_id string, stratum string, lane string, theta double, rank long")
 
 
 @query("nb6_widest_gap", """

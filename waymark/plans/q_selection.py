@@ -136,19 +136,19 @@ def sl19(spark, sf):
 
 
 def _composer_rows(spark, sf):
-    rows = celled(spark, sf).where(F.size("cells") > 0).where(order() % 3 == 0)
+    rows = celled(spark, sf).where(F.size("cells") > 0)
     return rows.select(F.col("query_id").alias("row_id"), F.col("dataset").alias("lane"), F.coalesce("stage", F.lit("none")).alias("family"), F.col("cells").alias("strata"), F.split("query_id", ":").alias("tokens"))
 
 
 @query("sl20_greedy_compose")
 def sl20(spark, sf):
-    """Candidates are prepared and compacted by Spark; the sequential choice runs in one grouped function."""
+    """Candidates are prepared by Spark, which leaves out only those that no choice can reach; the sequential choice runs in one grouped function."""
     floors, budgets = {"dense_high": 40, "fused_mid": 60, "sparse_low": 30}, {"A-F": 30, "N-O": 30, "R-F": 30}
 
     def one(pdf):
         return S.compose(pdf, floors, budgets, 100)
 
-    return _composer_rows(spark, sf).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(one, "row_id string, stratum string, lane string, theta double, rank long")
+    return S.shortlist(_composer_rows(spark, sf), 100).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(one, "row_id string, stratum string, lane string, theta double, rank long")
 
 
 @query("sl21_strata_prepare", "SELECT query_id, array_to_string(list_sort(list_concat(cells, ['lane:' || dataset])), ',') AS strata FROM $celled")
