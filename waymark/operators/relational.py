@@ -6,7 +6,7 @@ go by the md5 of seed and key, so they repeat exactly on any cluster.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -68,12 +68,19 @@ def sample(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
     return df.orderBy(draw_key(seed, *keys), *keys).limit(n)
 
 
-def materialize(corpus: DataFrame, qrels: DataFrame, target: int, seed: str) -> DataFrame:
-    """All documents with a relevant judgment and a draw of the others up to ``target``; an error if the judged ones alone exceed it."""
+def corpus_size(rate: float = 0.2, least: int = 10_000, most: int = 100_000) -> Callable[[int], int]:
+    """``corpus_target`` for a number."""
+    return lambda relevant: min(max(round(relevant / rate), least), most)
+
+
+def materialize(corpus: DataFrame, qrels: DataFrame, target: int | Callable[[int], int], seed: str) -> DataFrame:
+    """All documents with a relevant judgment and a draw of the others up to ``target``, which may be a function of the judged ones' number;
+    an error if the judged ones alone exceed it."""
     once = keep_one(corpus, ["doc_id"], [F.col("title"), F.col("text")])
     judged = qrels.where("relevance >= 1").select("doc_id").distinct()
     forced = subset(once, judged, "doc_id")
-    budget = target - forced.count()
+    relevant = forced.count()
+    budget = (target(relevant) if callable(target) else target) - relevant
     if budget < 0:
         raise ValueError(f"{-budget} relevant documents more than the target")
     return forced.unionByName(sample(difference(once, judged, "doc_id"), budget, seed, "doc_id"))

@@ -51,9 +51,10 @@ def sc5(spark, sf):
 
 @query("sc6_corpus_materialize", """
 WITH j AS (SELECT DISTINCT doc_id FROM $qrels WHERE relevance >= 1), f AS (SELECT * FROM $corpus WHERE doc_id IN (SELECT doc_id FROM j)), r AS (SELECT * FROM $corpus WHERE doc_id NOT IN (SELECT doc_id FROM j))
-SELECT doc_id, lane FROM f UNION ALL (SELECT doc_id, lane FROM r ORDER BY md5('corpus:' || doc_id), doc_id LIMIT (SELECT greatest(150 - count(*), 0) FROM f))""")
+SELECT doc_id, lane FROM f UNION ALL (SELECT doc_id, lane FROM r ORDER BY md5('corpus:' || doc_id), doc_id LIMIT (SELECT CAST(least(greatest(round_even(count(*) / 0.2::DOUBLE, 0), 150), 100000) AS BIGINT) - count(*) FROM f))""")
 def sc6(spark, sf):
-    return O.materialize(X.corpus(spark, sf), X.qrels(spark, sf), 150, "corpus").select("doc_id", "lane")
+    """The target follows from how many documents are judged relevant, so no table can ask for fewer than those."""
+    return O.materialize(X.corpus(spark, sf), X.qrels(spark, sf), O.corpus_size(0.2, 150, 100_000), "corpus").select("doc_id", "lane")
 
 
 @query("sc7_reservoir", "SELECT event_id, event_type FROM events ORDER BY md5('reservoir:' || CAST(event_id AS VARCHAR)), event_id LIMIT 500")
