@@ -178,6 +178,36 @@ def test_substring_dedup(spark, seed):
     assert all(sum(s["stop"] - s["start"] for s in r["removed"]) == r["n_removed"] for r in found)
 
 
+@pytest.mark.parametrize(("seed", "words"), [(1, "ab"), (2, "abc"), (3, "abcdefgh")])
+def test_substring_dedup_where_paths_branch(spark, seed, words):
+    """Short windows over few words: nearly every node branches, walks loop, end and begin inside each other."""
+    draw = random.Random(seed)
+    common = [" ".join(draw.choice(words) for _ in range(draw.randint(4, 25))) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        parts = [draw.choice(common) if draw.random() < 0.6 else f"u{i}.{j} {draw.choice(words)}" for j in range(draw.randint(0, 6))]
+        rows.append((draw.choice([i, i, i, None]), draw.choice([" ", "\n ", "\t"]).join(parts)))
+    rows += [(200 + i, "a " * n) for i, n in enumerate((3, 9, 40, 40))]
+    found = substring_dedup.deduplicate(frame(spark, rows), window=4, chunk_bytes=300).collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in found), key=str)
+    assert got == brute.deduplicated(rows, 4)
+
+
+def test_unitigs_are_nonbranching(spark):
+    rows = [(1, "x a b c d e f y"), (2, "z a b c d e f w"), (3, "q b c d e r"), (4, "b c d e r")]
+    docs = frame(spark, rows)
+    staged = Staged(spark)
+    stored = substring_dedup.chunks(docs, "doc_id", "text").cache()
+    keys = substring_dedup.Keys(100)
+    walk = substring_dedup.walks(stored, substring_dedup.shared_edges(stored, keys, 3), keys, 3)
+    walk = staged.put(walk, "walks")
+    paths = staged.put(walk.groupBy("path").agg(F.min("least").alias("owner"), F.first("words").alias("words")), "paths")
+    pieces = substring_dedup.unitigs(paths, substring_dedup.joints(paths, 3), 3).join(paths.select("path", "words"), "path").collect()
+    cut = {(bytes(r["words"]).decode(), r["start"], r["n"]) for r in pieces}
+    # walks: a..f (1 and 2), b..e r (3 and 4); node "b c" begins the second, node "d e" branches to f and r
+    assert cut == {("a b c d e f", 0, 1), ("a b c d e f", 1, 2), ("a b c d e f", 3, 1), ("b c d e r", 0, 2), ("b c d e r", 2, 1)}
+
+
 def test_substring_dedup_of_no_rows(spark, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 

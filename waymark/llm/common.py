@@ -41,11 +41,14 @@ class Staged:
     def __init__(self, spark: SparkSession):
         self.spark = prepare(spark)
         self.base = f"{shared_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
+        self.tables: list[str] = []
         atexit.register(self._end)
 
     def _end(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended before
             self.drop("")
+            for table in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.base}/{name}"
@@ -53,9 +56,12 @@ class Staged:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def put_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """A table dealt by ``key`` once, so that later joins on it move only their other side."""
+        """A table dealt by ``key`` once, one file a bucket, so that later joins on it move only their other side.
+
+        Its entry in the catalog goes with its files when the driver's Python ends."""
         table, n = f"{name}_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "uncompressed").option("path", f"{self.base}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(table)
+        self.tables.append(table)
+        df.repartition(n, key).write.format("parquet").option("compression", "uncompressed").option("path", f"{self.base}/{name}").bucketBy(n, key).sortBy(key).saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
@@ -74,6 +80,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def release() -> None:
+    """Gives what Arrow and the allocator hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def settled(scan):
     """``scan`` for ``mapInArrow``; when it ends, what it freed goes back to the system.
 
@@ -81,9 +94,7 @@ def settled(scan):
 
     def run(batches):
         yield from scan(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not glibc
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
     return run
 
