@@ -67,6 +67,32 @@ def secrets(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
 
 
+def linked(text, scope=256):
+    """All spans of a text: the base ones and the weak ones next to a part that completes them."""
+    s, parts = text or "", set()
+    base = {(int(a), ["assign", "access", "hex"].index(k), int(b)) for k, a, b in (x.split(":") for x in secrets(s).split(",") if x)}
+    weak = [r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", r"[A-Za-z0-9+/_=-]+", r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|ssh)://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|(?<![a-z0-9-])[a-z0-9-]+\.(?:com|net|org|io|dev|cloud|internal|local)\b"]
+    for rank, pattern in enumerate(weak, 3):
+        for m in re.finditer(pattern, s, re.ASCII | (re.I if rank == 3 else 0)):
+            if rank != 4 or (re.fullmatch("[A-Za-z0-9+/_-]{24,}={0,2}", m[0]) and all(re.search(x, m[0]) for x in ("[0-9]", "[A-Z]", "[a-z]"))):
+                parts.add((m.start(), rank, m.end()))
+    every, out = base | parts, list(base)
+    for a, rank, b in parts:
+        wants = (1, 3, 5) if rank == 4 else (0, 2, 4) if rank == 3 else ()
+        if any(r in wants and abs(a - c) <= scope for c, r, _ in every):
+            out.append((a, rank, b))
+    return sorted(out)
+
+
+def masked(text, spans, mask="[secret]"):
+    out, at = "", 0
+    for a, _, b in spans:
+        if a >= at:
+            out += text[at:a] + mask
+        at = max(at, b)
+    return out + text[at:]
+
+
 def repeated_words(text, k=5):
     w = SPACE_WORD.findall(text or "")
     grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]

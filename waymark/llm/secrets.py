@@ -7,11 +7,14 @@ Endpoints are evidence and never reported. The join goes by (row, bucket of ``SC
 neighbouring buckets, one row of first and last positions for each kind of part, so a text full of candidates gives
 three rows each and no pairs.
 
-Positions are code points, end exclusive. A pattern's matches and the pieces between them give them as running sums
-of lengths, in blocks, so that cost stays near linear in the number of matches.
+Positions are code points, end exclusive. A pattern's matches and the pieces between them give them as running sums of lengths,
+in blocks; masking puts a text together from blocks of itself. Both cost about the text and its matches, not their product. Patterns
+repeat single characters only, never groups, so a long run neither recurses nor is read again from each of its characters.
 
-Defined results: null text is empty; every row gives a row; repeated rows get equal results; null ids are
-kept; other columns are ignored.
+Only rows with weak parts that could be reported take part in the join; all others pass through.
+
+Defined results: null text is empty; every row gives a row; repeated rows get equal results; null ids are kept; texts of any length are
+read whole; an empty table gives no rows; other columns, whatever their names, are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 #: The same maximal runs as HEX and ACCESS where they are long enough, without a match for every letter from a to f.
 _LONG_HEX = rf"(?<![0-9a-f])[0-9a-f]{{{HEX_LENGTH},}}+"
 
-IDENTIFIER = r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+IDENTIFIER = r"""(?i)(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"
-ENDPOINT = r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|ssh)://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|dev|cloud|internal|local)\b"
+#: A URL, an IPv4 address, or the last two labels of a host name.
+ENDPOINT = r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|ssh)://[^\s\"'<>]++|(?<![A-Za-z0-9_])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![A-Za-z0-9_])|(?<![a-z0-9-])[a-z0-9-]++\.(?:com|net|org|io|dev|cloud|internal|local)(?![A-Za-z0-9_])"
 SCOPE = 256
-BLOCK = 256
+#: Elements of an array, or code points of a text, that are handled together.
+BLOCK, TEXT_BLOCK = 256, 4096
 
 KINDS = ["assign", "access", "hex", "identifier", "secret"]
 MASK = "[secret]"
@@ -42,53 +47,63 @@ MASK = "[secret]"
 _SPAN = "array<struct<start:int,rank:int,stop:int>>"
 
 
-def _running(lengths: Column) -> Column:
-    """Sums of all earlier elements, for each element; blockwise, so no array of n is copied n times."""
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, op) -> Column:
+    """``op`` over all earlier elements, for each element, from 0 on; blockwise, so no array of n is copied n times."""
 
     def within(part: Column, begin: Column) -> Column:
         start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.aggregate(part, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
-    block = lambda b: F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))
-    begins = within(F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + x)), F.lit(0))
-    return F.flatten(F.transform(blocks, lambda b: within(block(b), F.element_at(begins, b + 1))))
+    def whole(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        block = lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+        sums = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), op))
+        return _let(within(sums, F.lit(0)), lambda begins: F.flatten(F.transform(blocks, lambda b: within(block(b), F.element_at(begins, b + 1)))))
+
+    return _let(values, whole)
 
 
 def matches(text: Column, pattern: str, rank: int, keep=None) -> Column:
-    """(start, rank, stop) of the leftmost matches that ``keep(array of matches)`` marks true."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    sizes = F.transform(whole, F.length)
-    lengths = F.zip_with(F.slice(pieces, 1, F.size(whole)), sizes, lambda p, n: F.length(p) + n)
-    keeps = keep(whole) if keep else F.transform(whole, lambda _: F.lit(True))
-    rows = F.arrays_zip(_running(lengths).alias("before"), lengths.alias("step"), sizes.alias("size"), keeps.alias("keep"))
-    spans = F.transform(F.filter(rows, lambda r: r["keep"]), lambda r: F.struct((r["before"] + r["step"] - r["size"]).cast("int").alias("start"), F.lit(rank).alias("rank"), (r["before"] + r["step"]).cast("int").alias("stop")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+    """(start, rank, stop) of the leftmost matches for which ``keep`` holds."""
+
+    def spans(whole: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), whole, lambda p, m: F.length(p) + F.length(m))
+        ends = F.zip_with(_running(lengths, lambda a, x: a + x), lengths, lambda before, n: before + n)
+        found = F.zip_with(ends, whole, lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("stop"), (keep(m) if keep else F.lit(True)).alias("keep")))
+        return F.transform(F.filter(found, lambda r: r["keep"]), lambda r: F.struct(r["start"].alias("start"), r["rank"].alias("rank"), r["stop"].alias("stop")))
 
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
-def _assign(text: Column) -> Column:
-    values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    return matches(text, ASSIGN, 0, lambda _: F.transform(values, lambda v: F.length(v) >= ASSIGN_VALUE))
 
+def _long_value(match: Column) -> Column:
+    return F.length(F.regexp_extract(match, ASSIGN, 2)) >= ASSIGN_VALUE
 
-def _looks_random(found: Column) -> Column:
-    return F.transform(found, lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]"))
 
+def _looks_random(match: Column) -> Column:
+    return match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")
 
-def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row key, base spans, weak parts) of every row. Weak ranks: 3 identifier, 4 secret, 5 endpoint."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, row key, base spans, weak parts) of every row, with the ``whole`` row if asked for. Weak ranks: 3 identifier, 4 secret, 5 endpoint."""
+    row = [F.struct("*").alias("row")] if whole else []
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
     text = F.col("text")
-    base = F.concat(_assign(text), matches(text, ACCESS, 1, lambda m: F.transform(m, lambda v: F.length(v) >= ACCESS_LENGTH)), matches(text, _LONG_HEX, 2))
-    weak = F.concat(matches(text, IDENTIFIER, 3), matches(text, WEAK_SECRET, 4, _looks_random), matches(text, ENDPOINT, 5))
+    base = F.concat(matches(text, ASSIGN, 0, _long_value), matches(text, ACCESS, 1, lambda m: F.length(m) >= ACCESS_LENGTH), matches(text, _LONG_HEX, 2))
+    weak = F.concat(matches(text, IDENTIFIER, 3), matches(text, WEAK_SECRET, 4, _looks_random))
+    # endpoints are looked for only where there is something that they could complete
+    weak = _let(weak, lambda w: F.when(F.size(w) > 0, F.concat(w, matches(text, ENDPOINT, 5))).otherwise(w))
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
-    return own.select("doc_id", key.alias("key"), F.array_sort(base).alias("base"), weak.alias("weak"))
+    return own.select("doc_id", key.alias("key"), F.array_sort(base).alias("base"), weak.alias("weak"), *(["row"] if whole else []))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(key, linked spans): the weak identifiers and secrets with a complementary part in scope."""
-    parts = found.where(F.exists("weak", lambda w: w["rank"] < 5)).select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s.start", "s.rank", "s.stop").distinct()
+    parts = found.where(F.size("weak") > 0).select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s.start", "s.rank", "s.stop").distinct()
     # an access identifier, a weak one or an endpoint completes a secret; any secret completes an identifier
     side = F.when(F.col("rank").isin(1, 3, 5), F.lit("name")).otherwise(F.lit("secret"))
     bucket = F.floor(F.col("start") / scope)
@@ -99,32 +114,55 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     return met.select("key", F.struct("start", "rank", "stop").alias("s")).distinct().groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("linked"))
 
 
+def _with_spans(found: DataFrame, scope: int) -> DataFrame:
+    """``found`` with ``spans``: the base spans and the linked ones, sorted. Rows without weak parts are not moved."""
+    met = found.where(F.size("weak") > 0).join(linked(found, scope), "key", "left")
+    met = met.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN))))).drop("linked")
+    return found.where(F.size("weak") == 0).withColumn("spans", F.col("base")).unionByName(met)
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """(doc_id, key, base, spans) of every row: spans are the base spans and the linked ones, sorted."""
     found = Staged(docs.sparkSession).put(candidates(docs, id_col=id_col, text_col=text_col), "secret-parts")
-    joined = found.join(linked(found, scope), "key", "left")
-    return joined.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN)))).alias("spans"))
-
-
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span replaced by ``MASK``; ``length_col``, if it is there, follows the new text."""
-    spans = scan(docs, id_col=id_col, text_col=text_col).where(F.size("spans") > 0).select(F.col("key").alias("__waymark_key"), F.col("spans").alias("__waymark_spans")).dropDuplicates(["__waymark_key"])
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("h"), F.length(text).alias("n"))
-    met = docs.withColumn("__waymark_key", key).join(spans, "__waymark_key", "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("__waymark_spans", start, cut, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    hit = F.col("__waymark_spans").isNotNull()
-    new = {text_col: F.when(hit, clean).otherwise(F.col(text_col))}
-    out = met.withColumns(new)
-    if length_col and length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(hit, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+    return _with_spans(found, scope).select("doc_id", "key", "base", "spans")
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with ``MASK`` for every span; spans that overlap share one."""
+    stops = F.transform(spans, lambda s: s["stop"])
+
+    def build(blocks: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            first = F.floor(a / TEXT_BLOCK).cast("int")
+            part = F.slice(blocks, first + 1, F.floor(b / TEXT_BLOCK).cast("int") - first + 1)
+            return F.substring(F.array_join(part, ""), a - first * TEXT_BLOCK + 1, b - a)
+
+        rows = F.zip_with(spans, _running(stops, lambda a, x: F.greatest(a, x)), lambda s, before: F.struct(s["start"].alias("start"), before.alias("before")))
+        fresh = F.filter(rows, lambda r: r["start"] >= r["before"])
+        pieces = F.transform(fresh, lambda r: F.concat(between(r["before"], r["start"]), F.lit(MASK)))
+        return F.concat(F.array_join(pieces, ""), between(F.array_max(stops), F.length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0)), build)
+
+
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every span replaced by ``MASK``; ``length_col``, if it is there, follows the new text.
+
+    Rows are staged with their candidates, so each text is read once and only rows with weak parts are moved."""
+    found = Staged(docs.sparkSession).put(candidates(docs, id_col=id_col, text_col=text_col, whole=True), "secret-rows")
+    met = _with_spans(found, scope).select("row", "spans")
+    text, hit = F.col("row")[text_col].cast("string"), F.size("spans") > 0
+    out = met.select("row", hit.alias("hit"), F.when(hit, masked(text, F.col("spans"))).otherwise(text).alias("text"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.when(F.col("hit"), F.col("text")).otherwise(F.col("row")[name])
+        if name == length_col:
+            return F.when(F.col("hit"), F.length("text").cast(kinds[name])).otherwise(F.col("row")[name])
+        return F.col("row")[name]
+
+    return out.select(*[column(name).cast(kinds[name]).alias(name) for name in docs.columns])
 
 
 def spans_text(spans: Column) -> Column:
