@@ -32,6 +32,27 @@ def contamination(docs, bench, n=10):
     return sorted(out, key=str)
 
 
+def longest(docs, bench, n=10):
+    """{item: (words, doc, start, item start)} of the longest verbatim match of every item."""
+    out = {}
+    for item, text in bench:
+        v = BENCH_WORD.findall(lower(text))
+        best = None
+        for doc, t in docs:
+            w = BENCH_WORD.findall(lower(t))
+            before = {}
+            for j in range(len(v)):
+                now = {i: before.get(i - 1, 0) + 1 for i in range(len(w)) if w[i] == v[j]}
+                for i, k in now.items():
+                    if k >= min(n, len(v)):
+                        rank = (-k, doc is None, doc or 0, i - k + 1, j - k + 1)
+                        best = min(best or rank, rank)
+                before = now
+        if best:
+            out[str(item)] = (-best[0], None if best[1] else best[2], *best[3:])
+    return out
+
+
 def fingerprint(text):
     w = SPACE_WORD.findall(lower(text))
     if not w:

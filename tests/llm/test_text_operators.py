@@ -60,6 +60,47 @@ def test_contamination(spark, seed, block_bytes):
     assert all(sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in found.collect())
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_longest_matches(spark, block_bytes):
+    rows = [r for r in corpus(7) if len(r[1] or "") < 5000] + [(500, "zu " * 40), (None, "q " + "zu " * 30)]
+    words = rows[6][1].split()
+    bench = [(1, " ".join(words[3:30])), (2, "the of"), (3, " ".join(words[5:18] + ["unseen"] + words[18:40])), (4, "zu " * 25), (5, "nothing here"), (6, None), (7, "zu " * 60)]
+    found = decontaminate.longest_matches(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=block_bytes)
+    got = {r["item_id"]: (r["n_words"], r["doc_id"], r["start"], r["item_start"]) for r in found.collect()}
+    assert got == brute.longest(rows, [b for b in bench if b[1]])
+
+
+def test_suffix_array_is_sorted():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for least, size in ((1, 3), (4, 3), (2, 2)):
+        ids = draw.integers(0, size, 400).astype(np.uint32)
+        ids[50:140], ids[200:290] = 1, 1
+        ids[-1] = 0
+        own = decontaminate.ShardSuffixes(ids, 3, least)
+        lists = [own._words(i).tolist() for i in range(len(own.order))]
+        assert lists == sorted(lists)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Rows without an id or with another row's id go or stay by their own text."""
+    item = " ".join(f"b{i}" for i in range(12))
+    other = "other text entirely and more"
+    rows = [(None, item), (None, "clean one"), (1, item), (1, other), (2, f"x {item} y"), (3, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, __waymark_id string, row int")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted([(None, "clean one"), (1, other), (3, None), (3, "")], key=str)
+    copies = spark.createDataFrame([(i, t, "x", 1) for i, t in [*rows, (1, other), (0, other), (None, other), (7, "alone here")]], docs.schema)
+    kept = simhash.drop_near_duplicates(copies)
+    assert kept.columns == copies.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert {i for i, t in got if t == other} == {0} and {i for i, t in got if t == item} == {1} and len([1 for _, t in got if not t]) == 1
+    assert (None, "clean one") in got and (7, "alone here") in got
+
+
 def test_contamination_without_rows(spark, empty):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.find_contamination(empty, bench).count() == 0
@@ -90,9 +131,10 @@ def test_chain_and_star_links_lose_nothing(spark):
                 p ^= 1 << b
             prints.add(p)
     rows = [(i, simhash._signed(p)) for i, p in enumerate(sorted(prints))]
-    nodes = spark.createDataFrame([(p, p) for _, p in rows], "fp long, part long")
+    nodes = spark.createDataFrame([(p, p) for _, p in rows], "fp long, part long").cache()
     near = {tuple(sorted((a, b))) for i, a in rows for j, b in rows if i < j and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
-    assert {(r["a"], r["b"]) for r in simhash.chain_links(nodes).collect()} == near
+    for length in (2, 3):
+        assert {(r["a"], r["b"]) for r in simhash.chain_links(nodes, length=length).collect()} == near
     stars = {tuple(sorted((r["a"], r["b"]))) for r in simhash.star_links(nodes.drop("part")).collect()}
     assert stars <= near
 
@@ -109,7 +151,7 @@ def test_crowded_keys_lose_no_link(spark, crowd):
     prints |= {draw.getrandbits(64) for _ in range(100)}
     signed = {simhash._signed(p): p for p in prints}
     nodes = spark.createDataFrame([(s, i) for i, s in enumerate(sorted(signed))], "fp long, least long")
-    found = simhash.link(nodes, Staged(spark), crowd=crowd).collect()
+    found = simhash.link(nodes, Staged(spark), crowd=crowd, wide=crowd).collect()
     want = brute.components([(s, p) for s, p in signed.items()])
     groups = {}
     for r in found:
@@ -124,6 +166,7 @@ def test_simhash_keeps_one_of_each_group(spark, empty):
     rows = corpus(5)
     docs = frame(spark, rows)
     kept = [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(kept) == len(set(kept))
     want = brute.components([(i, brute.fingerprint(t)) for i, t in rows if i is not None])
     assert sorted(i for i in kept if i is not None) == sorted(set(want.values()))
     assert simhash.near_duplicates(empty).count() == 0

@@ -105,6 +105,29 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def kept_rows(docs: DataFrame, text_col: str, judge) -> DataFrame:
+    """The rows of ``docs`` for which ``judge`` (texts to booleans) holds, all columns as they were.
+
+    Each row is judged where it lies and by its own text alone, so neither null nor repeated ids matter and no row moves."""
+    at = docs.columns.index(text_col)
+
+    def scan(batches):
+        for batch in batches:
+            own = batch.column(at)
+            own = own if pa.types.is_string(own.type) or pa.types.is_large_string(own.type) else own.cast(pa.string())
+            yield batch.filter(pa.array(np.asarray(judge(texts(own)), bool)))
+
+    return docs.mapInArrow(settled(scan), docs.schema)
+
+
+def salted_join(rows: DataFrame, found: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row a key; a key's rows are dealt to ``salts`` shares by
+    ``by``, and each share gets its copy of the found row, so that a key of very many rows does not end in one task."""
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    told = dealt.select(key, "__salt").distinct().join(found, key)
+    return dealt.join(told, [key, "__salt"]).drop("__salt")
+
+
 def steps(values: list[bytes | None], size: int = STEP_BYTES):
     """(from, to) of consecutive rows of about ``size`` bytes; a longer text is a step alone."""
     begin = total = 0

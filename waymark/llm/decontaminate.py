@@ -1,32 +1,37 @@
 """Benchmark decontamination with suffix arrays of the training shards.
 
-Every training shard (some rows of a partition) gets a suffix array over its words. Each
-suffix of each benchmark item is looked up in it by binary search; the matching places are
-verbatim occurrences, and adjoining ones merge into the longest matches. One narrow pass, no
-shuffle: a lost task is just run again.
+Every training shard (some rows of a partition, about ``SHARD_BYTES`` of text) gets a suffix array over its words: the places sorted by
+all words that follow them, first by the words of a window, then by doubling. Every suffix of every benchmark item is looked up in it by
+binary search. The places that share a window's words are its verbatim occurrences; the neighbours of the whole suffix give its longest
+verbatim match and where it is. One narrow pass, no shuffle of texts: a lost task is just run again.
 
-The suffix array leaves out places at which no benchmark window can start, which are those
-where fewer consecutive words than the shortest window are words of the benchmark at all.
+The suffix array leaves out places that no match can pass: words that no item has end a suffix, and runs of fewer words than the
+shortest window are left out.
+
+The benchmark comes in blocks of at most ``BLOCK_BYTES`` of text; a worker holds one block at a time, and every block meets every shard.
 
 Defined results: null or empty text has no words and no hits; null item texts and items
-without words match nothing; repeated rows are judged one by one; an empty benchmark leaves
-all documents clean; columns other than the id and the text are ignored.
+without words match nothing; repeated rows are judged one by one, rows without an id like others; texts of any length are read whole (a longer one than
+a shard is a shard alone); an empty benchmark leaves all documents clean; an empty table gives no rows; columns other than the id and the text are ignored, and
+``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import settled, steps, texts
+from waymark.llm.common import kept_rows, settled, steps, texts
 
 WINDOW = 10
+SHARD_BYTES = 4 << 20
 #: A block of the benchmark is broadcast alone, so its size has this bound (one longer item excepted).
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _ID_BYTES = 4
 
@@ -43,59 +48,147 @@ def _keys(matrix: np.ndarray) -> np.ndarray:
     return big.view(f"S{_ID_BYTES * matrix.shape[1]}").reshape(-1)
 
 
+def _windows(ids: np.ndarray, at: np.ndarray, room: np.ndarray, window: int, fill: int = 0) -> np.ndarray:
+    """Keys of the ``window`` words from each place on, ``fill`` beyond its ``room``."""
+    padded = np.concatenate([ids, np.zeros(window, ids.dtype)])
+    rows = padded[at[:, None] + np.arange(window)]
+    rows[np.arange(window) >= room[:, None]] = fill
+    return _keys(rows)
+
+
 class TestSuffixes:
-    """The windows at all suffixes of a block of items, distinct and ready for binary search."""
+    """A block of items: the word numbers of all, and the distinct windows that their suffixes start with."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.window = window
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(x) for x in owners], np.int64)
-        self.least = int(self.lengths.min()) if owners else 0
-        low = np.zeros((len(owners), window), np.uint32)
-        for row, ids in zip(low, owners, strict=True):
-            row[: len(ids)] = ids
-        high = np.where(np.arange(window) < self.lengths[:, None], low, np.uint32(0xFFFFFFFF)) if owners else low
-        self.low, self.high = _keys(low), _keys(high)
-
-    def occurrences(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``ids`` (0 at foreign words and ends) and the suffixes found there."""
-        none = np.zeros(0, np.int64)
-        if not self.owners:
-            return none, none
-        stops = np.flatnonzero(ids == 0)
-        run = stops[np.searchsorted(stops, np.arange(len(ids)))] - np.arange(len(ids))
-        places = np.flatnonzero(run >= self.least)
-        if not len(places):
-            return none, none
-        padded = np.concatenate([ids, np.zeros(self.window, ids.dtype)])
-        suffixes = padded[places[:, None] + np.arange(self.window)]
-        suffixes[np.arange(self.window) >= run[places][:, None]] = 0
-        keys = _keys(suffixes)
-        order = np.argsort(keys, kind="stable")
-        array = keys[order]
-        left = np.searchsorted(array, self.low, "left")
-        right = np.searchsorted(array, self.high, "right")
+        self.window, self.vocabulary = window, {}
+        number = self.vocabulary.setdefault
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        self.items = [item for item, _ in items]
+        self.ids = np.array([i for _, words in items for i in (*(number(w, len(self.vocabulary) + 1) for w in words), 0)], np.uint32)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        #: Places in ``ids`` at which a window starts: a shorter item is one window.
+        self.at = np.concatenate([np.arange(b, b + max(1, n - window + 1)) for b, n in zip(begin.tolist(), sizes.tolist(), strict=True) if n] or [np.zeros(0, np.int64)]).astype(np.int64)
+        owner = np.searchsorted(begin, self.at, "right") - 1
+        self.room = (begin + sizes)[owner] - self.at  # words up to the end of the item
+        keys = _windows(self.ids, self.at, self.room, window)
+        self.low, first, self.which = np.unique(keys, return_index=True, return_inverse=True)
+        self.lengths = np.minimum(self.room[first], window)
+        self.high = _windows(self.ids, self.at[first], self.room[first], window, 0xFFFFFFFF)
+        self.high[self.lengths == window] = self.low[self.lengths == window]
+        self.least = int(self.lengths.min()) if len(self.at) else 0
+        pairs = np.unique(np.stack([self.which, owner]), axis=1) if len(self.at) else np.zeros((2, 0), np.int64)
+        self.owner, self._pair_items = owner, pairs[1]
+        self._pair_begin = np.searchsorted(pairs[0], np.arange(len(self.low) + 1))
+
+    def owners(self, window: int) -> list[str]:
+        return [self.items[i] for i in self._pair_items[self._pair_begin[window] : self._pair_begin[window + 1]].tolist()]
+
+    def numbers(self, rows: list[list[bytes]], sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The words of a shard as numbers, 0 for foreign ones and after each row."""
+        ids, number = np.zeros(offsets[-1], np.uint32), self.vocabulary.get
+        for row, at, n in zip(rows, offsets.tolist(), sizes.tolist(), strict=False):
+            ids[at : at + n] = np.fromiter((number(w, 0) for w in row), np.uint32, n)
+        return ids
+
+
+class ShardSuffixes:
+    """The suffix array of a shard: ``order`` has the places, sorted by the words from each up to the next 0."""
+
+    def __init__(self, ids: np.ndarray, window: int, least: int):
+        self.ids, self.window = ids, window
+        known = np.concatenate([[False], ids > 0, [False]])
+        edges = np.flatnonzero(known[1:] != known[:-1])
+        begins, stops = edges[0::2], edges[1::2]
+        long = stops - begins >= max(1, least)
+        begins, stops = begins[long], stops[long]
+        sizes = stops - begins
+        before = np.cumsum(sizes) - sizes
+        self.place = np.arange(int(sizes.sum())) + np.repeat(begins - before, sizes)
+        self.run = np.repeat(stops, sizes) - self.place  # words up to the next 0
+        keys = _windows(ids, self.place, self.run, window) if len(self.place) else np.zeros(0, "S1")
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self._refine()
+
+    def _refine(self) -> None:
+        """Sorts ties of the first ``window`` words by what follows, doubling the words compared each time."""
+        n, size = len(self.place), self.window
+        fresh = np.concatenate([[True], self.keys[1:] != self.keys[:-1]]) if n else np.zeros(0, bool)
+        while not fresh.all():
+            rank = np.empty(n, np.int64)
+            rank[self.order] = np.cumsum(fresh)
+            tied = ~fresh
+            tied[:-1] |= ~fresh[1:]
+            if self.run[self.order[tied]].max() <= size:
+                break
+            later = np.zeros(n, np.int64)  # a run's places are neighbours, so the one ``size`` words on is ``size`` places on
+            on = np.flatnonzero(self.run > size)
+            later[on] = rank[on + size]
+            both = rank * (n + 1) + later
+            self.order = np.argsort(both, kind="stable")
+            ranked = both[self.order]
+            fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+            size *= 2
+
+    def occurrences(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct window found: its number and the range of the suffix array that starts with it."""
+        left = np.searchsorted(self.keys, test.low, "left")
+        right = np.searchsorted(self.keys, test.high, "right")
         found = np.flatnonzero(right > left)
-        counts = (right - left)[found]
-        suffix = np.repeat(found, counts)
-        at = np.arange(len(suffix)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(left[found], counts)
-        return places[order[at]], suffix
+        return found, left[found], right[found]
+
+    def places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All places of some ranges, and the number of the range that each is from."""
+        counts = right - left
+        which = np.repeat(np.arange(len(left)), counts)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(left, counts)
+        return self.place[self.order[at]], which
+
+    def longest(self, suffix: np.ndarray, left: int, right: int) -> tuple[int, np.ndarray]:
+        """(words, places) of the longest match of ``suffix`` among the suffixes in a range: by binary search, at its neighbours."""
+        big = suffix.astype(">u4")
+        key = lambda i: self._words(i).astype(">u4").tobytes()
+        at = bisect_left(range(left, right), big.tobytes(), key=key) + left
+        size = max(self._common(big, i) for i in (at - 1, at) if left <= i < right)
+        prefix = big[:size].tobytes()
+        first = bisect_left(range(left, right), prefix, key=key) + left
+        last = bisect_left(range(first, right), True, key=lambda i: key(i)[: len(prefix)] > prefix) + first
+        return size, self.place[self.order[first:last]]
+
+    def _words(self, i: int) -> np.ndarray:
+        p = self.order[i]
+        return self.ids[self.place[p] : self.place[p] + self.run[p]]
+
+    def _common(self, suffix: np.ndarray, i: int) -> int:
+        own = self._words(i)
+        n = min(len(own), len(suffix))
+        differ = np.flatnonzero(own[:n] != suffix[:n])
+        return int(differ[0]) if len(differ) else n
+
+
+def _value(block) -> TestSuffixes:
+    """A broadcast block; where a worker can read it again from its file, it does not keep it."""
+    value = block.value
+    if getattr(block, "_path", None):
+        block.__dict__.pop("_value", None)
+    return value
+
 
+class Shard:
+    """The words of some texts, and where each text's begin."""
 
-def _missing_is_zero(vocabulary: dict[bytes, int]):
-    class Numbers(dict):
-        def __missing__(self, _):
-            return 0
+    def __init__(self, values: list[bytes | None]):
+        self.rows = [words_of(v) for v in values]
+        self.sizes = np.fromiter(map(len, self.rows), np.int64, len(self.rows))
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes + 1)])
 
-    return Numbers(vocabulary).__getitem__
+    def against(self, test: TestSuffixes) -> ShardSuffixes:
+        return ShardSuffixes(test.numbers(self.rows, self.sizes, self.offsets), test.window, test.least)
+
+    def row_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, places, "right") - 1
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int, item_col: str, text_col: str):
@@ -115,48 +208,54 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int, item_c
         yield TestSuffixes(block, window)
 
 
+class Benchmark:
+    """The blocks of a benchmark, broadcast one by one."""
+
+    def __init__(self, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text"):
+        sc = benchmark.sparkSession.sparkContext
+        self.blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes, item_col, text_col)]
+
+    def reader(self):
+        """The blocks for a task: a single one stays, of several each is read anew for every shard."""
+        only = self.blocks[0].value if len(self.blocks) == 1 else None
+        return lambda: [only] if only is not None else map(_value, self.blocks)
+
+
+def hits(shard: Shard, blocks) -> tuple[np.ndarray, dict[int, set[str]]]:
+    """(whether each place is inside a window, item ids by row)."""
+    delta = np.zeros(shard.offsets[-1] + 1, np.int64)
+    items: dict[int, set[str]] = {}
+    for test in blocks:
+        suffixes = shard.against(test)
+        found, left, right = suffixes.occurrences(test)
+        places, which = suffixes.places(left, right)
+        np.add.at(delta, places, 1)
+        np.add.at(delta, places + test.lengths[found][which], -1)
+        pairs = np.unique(np.stack([shard.row_of(places), found[which]]), axis=1)
+        for r, w in pairs.T.tolist():
+            items.setdefault(r, set()).update(test.owners(w))
+    return np.cumsum(delta)[:-1] > 0, items
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: its words, the words inside benchmark windows, the items found and
-    the longest merged matches as [start, stop) in words."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, window, block_bytes, item_col, item_text_col)]
+    """Per row of ``docs``: its words, the words inside benchmark windows, the items found and the covered spans as [start, stop) in words."""
+    against = Benchmark(benchmark, window, block_bytes, item_col, item_text_col)
 
     def scan(batches):
-        one = len(blocks) == 1
-        kept = [(b.value, _missing_is_zero(b.value.vocabulary)) for b in blocks] if one else None
+        blocks = against.reader()
         for batch in batches:
             values = texts(batch.column(1))
             out_words, out_hit, out_items, out_spans = [], [], [], []
-            for begin, end in steps(values):
-                rows = [words_of(v) for v in values[begin:end]]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-                offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-                delta = np.zeros(offsets[-1] + 1, np.int64)
-                items: dict[int, set[str]] = {}
-                for k in range(len(blocks)):
-                    test, number = kept[0] if one else ((b := blocks[k].value), _missing_is_zero(b.vocabulary))
-                    ids = np.zeros(offsets[-1], np.uint32)
-                    for row, at, n in zip(rows, offsets, sizes, strict=False):
-                        ids[at : at + n] = np.fromiter(map(number, row), np.uint32, n)
-                    places, suffix = test.occurrences(ids)
-                    np.add.at(delta, places, 1)
-                    np.add.at(delta, places + test.lengths[suffix], -1)
-                    row_of = np.searchsorted(offsets, places, "right") - 1
-                    for r, s in set(zip(row_of.tolist(), suffix.tolist(), strict=True)):
-                        items.setdefault(r, set()).update(test.owners[s])
-                covered = np.cumsum(delta)[:-1] > 0
-                for r, n in enumerate(sizes.tolist()):
+            for begin, end in steps(values, SHARD_BYTES):
+                shard = Shard(values[begin:end])
+                covered, items = hits(shard, blocks())
+                for r, n in enumerate(shard.sizes.tolist()):
+                    own = covered[shard.offsets[r] : shard.offsets[r] + n] if r in items else np.zeros(0, bool)
+                    edges = np.flatnonzero(np.diff(own, prepend=False, append=False)).tolist()
                     out_words.append(n)
-                    if r not in items:
-                        out_hit.append(0)
-                        out_items.append([])
-                        out_spans.append([])
-                        continue
-                    own = covered[offsets[r] : offsets[r] + n]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
                     out_hit.append(int(own.sum()))
-                    out_items.append(sorted(items[r]))
-                    out_spans.append([{"start": a, "stop": b} for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True)])
+                    out_items.append(sorted(items.get(r, ())))
+                    out_spans.append([{"start": a, "stop": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out_words, pa.int64()), pa.array(out_hit, pa.int64()), pa.array(out_items, pa.list_(pa.string())), pa.array(out_spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
                 ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
@@ -165,14 +264,55 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all columns as they were.
+def longest_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(item_id, n_words, doc_id, start, item_start) of every item that occurs: its longest verbatim match in the training texts.
+
+    Of equally long ones the one in the smallest document (null ids last), first there, first in the item. Every shard sends one row an item."""
+    against = Benchmark(benchmark, window, block_bytes, item_col, item_text_col)
+    schema = pa.schema([("item_id", pa.string()), ("n_words", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("item_start", pa.int32())])
 
-    Rows with a null id are judged like others but, having no key, stay only if no null-id row is hit.
-    """
-    id_col = options.get("id_col", "doc_id")
-    bad = find_contamination(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("__waymark_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__waymark_id"]), "left_anti")
+    def scan(batches):
+        blocks = against.reader()
+        for batch in batches:
+            values, names = texts(batch.column(1)), batch.column(0).to_pylist()
+            for begin, end in steps(values, SHARD_BYTES):
+                shard, best = Shard(values[begin:end]), {}
+                for test in blocks():
+                    suffixes = shard.against(test)
+                    found, left, right = suffixes.occurrences(test)
+                    range_of = dict(zip(found.tolist(), zip(left.tolist(), right.tolist(), strict=True), strict=True))
+                    for s in np.flatnonzero(np.isin(test.which, found)).tolist():
+                        at, room, item = int(test.at[s]), int(test.room[s]), int(test.owner[s])
+                        if room < best.get(test.items[item], (0,))[0] * -1:
+                            continue  # too short to be longer
+                        n, places = suffixes.longest(test.ids[at : at + room], *range_of[int(test.which[s])])
+                        rows = shard.row_of(places)
+                        where = min((names[begin + r] is None, names[begin + r] or 0, p - int(shard.offsets[r])) for r, p in zip(rows.tolist(), places.tolist(), strict=True))
+                        start = at - int(test.at[np.searchsorted(test.owner, item)])
+                        best[test.items[item]] = min(best.get(test.items[item], (1,)), (-n, *where, start))
+                rows = [{"item_id": k, "n_words": -n, "doc_id": None if null else doc, "start": p, "item_start": q} for k, (n, null, doc, p, q) in best.items()]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = own.mapInArrow(settled(scan), "item_id string, n_words int, doc_id long, start int, item_start int")
+    place = F.struct((-F.col("n_words")).alias("n"), F.col("doc_id").isNull().alias("null_id"), "doc_id", "start", "item_start")
+    best = rows.groupBy("item_id").agg(F.min(place).alias("m"))
+    return best.select("item_id", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.start", "m.item_start")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; every row is judged by its own text, whatever its id."""
+    against = Benchmark(benchmark, window, block_bytes, item_col, item_text_col)
+
+    def clean(values: list[bytes | None]) -> np.ndarray:
+        keep, blocks = np.ones(len(values), bool), against.reader()
+        for begin, end in steps(values, SHARD_BYTES):
+            _, items = hits(Shard(values[begin:end]), blocks())
+            keep[[begin + r for r in items]] = False
+        return keep
+
+    return kept_rows(docs, text_col, clean)
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -11,7 +11,8 @@ hash. Scoring is a narrow pass with the weights, 1 MB, broadcast.
 
 Defined results: null, empty and blank texts score by the bias alone; rows with a null id are never learned
 from and count as held out; null labels are ignored and an id labelled twice takes its mean label;
-repeated documents are learned once; without usable labels every score is 0.5.
+repeated documents are learned once and scored alike; without usable labels every score is 0.5; texts of any length are read
+whole; an empty table gives no rows; other columns are ignored, and ``drop_rejected`` keeps them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import LOWER, held_out, joined, mix, read, settled, steps, texts, word_hashes, word_runs
+from waymark.llm.common import LOWER, held_out, joined, kept_rows, mix, read, settled, steps, texts, word_hashes, word_runs
 
 BUCKETS = 1 << 18
 SAMPLE = 8000
@@ -119,21 +120,24 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return np.frombuffer(row["w"], np.float32) if row else None
 
 
+def scores(values: list[bytes | None], w: np.ndarray | None) -> np.ndarray:
+    """The scores of texts; a text longer than a step is one alone."""
+    out = np.full(len(values), 0.5)
+    for begin, end in steps(values) if w is not None else ():
+        features, rows = _ngrams(values, begin, end)
+        sums = np.bincount(rows, w[features].astype(np.float64), minlength=end - begin)
+        counts = np.bincount(rows, minlength=end - begin)
+        out[begin:end] = 1.0 / (1.0 + np.exp(-np.clip(float(w[BUCKETS]) + SCALE * sums / np.maximum(1, counts), -30, 30)))
+    return out
+
+
 def score(docs: DataFrame, weights: np.ndarray | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scan(batches):
-        w = shared.value
         for batch in batches:
-            values = texts(batch.column(1))
-            out = np.full(len(values), 0.5)
-            for begin, end in steps(values) if w is not None else ():
-                features, rows = _ngrams(values, begin, end)
-                sums = np.bincount(rows, w[features].astype(np.float64), minlength=end - begin)
-                counts = np.bincount(rows, minlength=end - begin)
-                out[begin:end] = 1.0 / (1.0 + np.exp(-np.clip(float(w[BUCKETS]) + SCALE * sums / np.maximum(1, counts), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(texts(batch.column(1)), shared.value))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), "doc_id long, score double")
 
@@ -144,10 +148,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without rejected documents; rows with a null id have no key and stay."""
-    bad = classify(docs, labels, **options).where("predicted = 0").select(F.col("doc_id").alias("__waymark_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__waymark_id"], "left_anti")
+def drop_rejected(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``; every row is judged by its own text, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample))
+    return kept_rows(docs, text_col, lambda values: scores(values, shared.value) >= threshold)
 
 
 def op6_quality_model(spark, sf_dir):

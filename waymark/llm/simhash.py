@@ -6,12 +6,18 @@ principle (Qin and Xiao, 2018) says: if the differences sum to at most ``radius`
 in which the first l segments together differ in at most l * radius / (radius + 1) bits, for every l. So the first differs in none, the
 first two in one at most, and so on. The join key takes the first two segments of a chain: one side gives
 its bits, the other all values within one bit of the second segment; longer chains and then all bits are tested on what the join
-brings together.
+brings together. From ``WIDE`` fingerprints on, where random ones would meet often under a key of 26 bits, the key takes three segments
+(38 bits), and both sides give all values within one bit of the last two, so that two bits of difference meet half-way.
 
 Copies share a fingerprint, so the join sees each fingerprint once, whatever the size of a
 group of copies. Where many fingerprints crowd under one key, those within one or two bits of each other are first
 linked through shared one-bit neighbours, as stars and not as pairs; the pigeonring join then has to link only
-what is still apart, so a dense group of near copies gives no square of pairs.
+what is still apart, so a dense group of near copies gives no square of pairs. How fingerprints are linked, by either key or by
+stars, never changes which components there are.
+
+Defined results: null, empty and blank texts have fingerprint 0 and link like any other; repeated rows are copies; rows with a null id take
+part, and a component of null ids alone has a null id; texts of any length are read whole; an empty table gives no rows; other columns are ignored,
+and ``drop_near_duplicates`` keeps them.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Staged, read, settled, texts
+from waymark.llm.common import Staged, read, salted_join, settled, texts
 from waymark.llm.components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
 #: Fingerprints under one chain key from which on they are first linked as stars.
 CROWD = 32
+#: Distinct fingerprints from which on chain keys take three segments: random ones then meet about as often as there are keys.
+WIDE = 1 << 26
 SEED = 42
 
 
@@ -53,15 +61,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row, fp as a signed 64-bit number."""
+    """(doc_id, h, n, fp) for every row: a hash and the length of its text, which with the id tell rows apart, and the fingerprint as a signed number."""
 
     def scan(batches):
         for batch in batches:
-            values = texts(batch.column(1))
+            values = texts(batch.column(3))
             found = np.fromiter((fingerprint(v, shingle) for v in values), np.uint64, len(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "h", "n", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(settled(scan), "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.length(text), F.lit(-1)).alias("n"), text.alias("text"))
+    return own.mapInArrow(settled(scan), "doc_id long, h long, n int, fp long")
 
 
 def _bits(width: int) -> int:
@@ -100,13 +110,15 @@ def star_links(nodes: DataFrame) -> DataFrame:
     return pairs.union(rest).distinct()
 
 
-def _chains(radius: int, probing: bool) -> list[Column]:
-    """(chain, key) of every segment that a chain can start at; with ``probing``, also those one bit of the second segment away."""
+def _chains(radius: int, probing: bool, length: int = 2) -> list[Column]:
+    """(chain, key) of every segment that a chain can start at, over ``length`` segments; with ``probing``, also those one bit of all but the first segment away."""
     ring, out = segments(radius), []
     for i, first in enumerate(ring):
-        second = ring[(i + 1) % len(ring)]
-        key = F.col("fp").bitwiseAND(_mask(first | second))
-        for bit in [0, *(_one_bits(second) if probing else [])]:
+        rest = 0
+        for j in range(1, length):
+            rest |= ring[(i + j) % len(ring)]
+        key = F.col("fp").bitwiseAND(_mask(first | rest))
+        for bit in [0, *(_one_bits(rest) if probing else [])]:
             out.append(F.struct(F.lit(i).cast("byte").alias("chain"), (key.bitwiseXOR(_mask(bit)) if bit else key).alias("key")))
     return out
 
@@ -118,26 +130,29 @@ def crowded(nodes: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataF
     return keyed.join(full, ["chain", "key"], "left_semi").select("fp").distinct()
 
 
-def chain_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links of ``radius`` or fewer bits between fingerprints of different ``part``, by pigeonring chains."""
+def chain_links(nodes: DataFrame, radius: int = RADIUS, length: int = 2) -> DataFrame:
+    """Links of ``radius`` or fewer bits between fingerprints of different ``part``, by pigeonring chains.
+
+    With a key of two segments one side probes; with three, both do, and two bits of difference meet half-way."""
     ring = segments(radius)
     n = len(ring)
-    left = nodes.select(F.col("fp").alias("a"), F.col("part").alias("pa"), F.explode(F.array(*_chains(radius, False))).alias("s")).select("a", "pa", "s.chain", "s.key")
-    right = nodes.select(F.col("fp").alias("b"), F.col("part").alias("pb"), F.explode(F.array(*_chains(radius, True))).alias("s")).select("b", "pb", "s.chain", "s.key")
+    length = min(length, n)
+    left = nodes.select(F.col("fp").alias("a"), F.col("part").alias("pa"), F.explode(F.array(*_chains(radius, length > 2, length))).alias("s")).select("a", "pa", "s.chain", "s.key")
+    right = nodes.select(F.col("fp").alias("b"), F.col("part").alias("pb"), F.explode(F.array(*_chains(radius, True, length))).alias("s")).select("b", "pb", "s.chain", "s.key")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     chained = F.lit(False)
     for i in range(n):
         own, mask = F.col("chain") == i, 0
-        for length in range(1, n):
-            mask |= ring[(i + length - 1) % n]
-            if length > 2:
-                own = own & (F.bit_count(differing.bitwiseAND(_mask(mask))) <= length * radius // n)
+        for size in range(1, n):
+            mask |= ring[(i + size - 1) % n]
+            if size > 1:
+                own = own & (F.bit_count(differing.bitwiseAND(_mask(mask))) <= size * radius // n)
         chained = chained | own
     joined = left.join(right, (left["chain"] == right["chain"]) & (left["key"] == right["key"]) & (F.col("pa") < F.col("pb")), "inner").drop(right["chain"])
     return joined.where(chained).where(F.bit_count(differing) <= radius).select("a", "b").distinct()
 
 
-def link(distinct: DataFrame, staged: Staged, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+def link(distinct: DataFrame, staged: Staged, radius: int = RADIUS, crowd: int = CROWD, wide: int = WIDE) -> DataFrame:
     """(fp, least, whole): the component of every fingerprint, named by one of its fingerprints."""
     if radius >= 2:
         stars = connected_components(star_links(crowded(distinct, radius, crowd)), staged, "stars")
@@ -145,40 +160,45 @@ def link(distinct: DataFrame, staged: Staged, radius: int = RADIUS, crowd: int =
     else:
         parts = distinct.withColumn("part", F.lit(None).cast("long"))
     parts = staged.put(parts.select("fp", "least", F.coalesce("part", "fp").alias("part")), "parts")
-    links = chain_links(parts, radius)
+    links = chain_links(parts, radius, 3 if parts.count() >= wide else 2)
     ends = links.join(parts.select(F.col("fp").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("fp").alias("b"), F.col("part").alias("q")), "b")
     merged = connected_components(ends.select(F.col("p").alias("a"), F.col("q").alias("b")).where("a <> b").distinct(), staged, "chains")
     return parts.join(merged.select(F.col("node").alias("part"), F.col("part").alias("whole")), "part", "left").select("fp", "least", F.coalesce("whole", "part").alias("whole"))
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable.
+def grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and for each fingerprint the first row of its component: (fp, first).
 
-    Null, empty and blank texts have fingerprint 0 and link like any other; repeated rows are copies;
-    rows with a null id take part, and a component of null ids alone has a null id.
-    """
-    spark = docs.sparkSession
-    staged = Staged(spark)
+    Rows come in the order of id (null ids last), length and hash; each fingerprint's first row is found before components are looked at."""
+    staged = Staged(docs.sparkSession)
     prints = staged.put(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = staged.put(nodes, "nodes")
+    place = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "n", "h")
+    distinct = staged.put(prints.groupBy("fp").agg(F.min(place).alias("least")), "nodes")
     groups = link(distinct, staged, radius)
-    smallest = groups.groupBy("whole").agg(F.min("least").alias("component_id"))
-    ids = groups.join(smallest, "whole").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row left of each group: one with the smallest id (of repeated rows, any one of the equals).
-
-    Rows whose id is null have no key to be told apart by; they all stay.
-    """
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__waymark_id")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["__waymark_id"], "left_anti")
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    first = groups.groupBy("whole").agg(F.min("least").alias("first"))
+    return prints, salted_join(groups, first, "whole", "fp").select("fp", "first")
+
+
+def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable."""
+    prints, groups = grouped(docs, radius, shingle, id_col, text_col)
+    ids = groups.select("fp", F.col("first.doc_id").alias("component_id"))
+    return salted_join(prints, ids, "fp", "doc_id").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row left of each group: the first by id (null ids last), length and hash of its text.
+
+    Rows are told apart by id, length and hash, so rows of one id, or without one, are judged each by its own text; of rows
+    equal in all three one stays. The texts move once, to the keys of what goes."""
+    prints, groups = grouped(docs, radius, shingle, id_col, text_col)
+    own = salted_join(prints, groups, "fp", "doc_id")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")) & (F.col("n") == F.col("first.n"))
+    text = F.col(f"row.{text_col}").cast("string")
+    key = [F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(0)).alias("i"), F.col(f"row.{id_col}").isNull().alias("z"), F.xxhash64(text).alias("h"), F.coalesce(F.length(text), F.lit(-1)).alias("n")]
+    gone = own.where(~is_first).select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), "h", "n").distinct()
+    kept = docs.select(F.struct("*").alias("row")).select("row", *key).join(gone, ["i", "z", "h", "n"], "left_anti").dropDuplicates(["i", "z", "h", "n"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_simhash(spark, sf_dir):
