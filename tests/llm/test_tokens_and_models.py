@@ -7,8 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from waymark.llm import huffman, language_id, packing, quality_model, queries
 from waymark.llm.tokens import Encoder
@@ -20,20 +22,17 @@ ODD = [(7, None), (8, ""), (None, "null id"), (9, "same"), (9, "same"), (10, "wo
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_units_give_the_tokenizers_ids(path):
-    draw, own = random.Random(1), Encoder(path, store=500)
+    draw, own, plain = random.Random(1), Encoder(path, store=500), Tokenizer.from_file(path)
     alphabet = [*"ab é Ñß.,'s\n\n  \t\r9#İſ\x85\x1c​  　日本\U0001d4b3ć", "ć", "<|endoftext|>", "'ll ", "  ", "\n ", "the ", "ABC", " !"]
     for _ in range(4000):
         text = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40)))
-        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        want = plain.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == want, repr(text)
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_added_tokens_get_their_ids(path):
     """Ids are those of the library's plain call, one text at a time and in columns."""
-    import pyarrow as pa
-    from tokenizers import Tokenizer
-
     draw, own, plain = random.Random(2), Encoder(path, store=500), Tokenizer.from_file(path)
     marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "Bar", " ", "  ", "\n", "\t", "é", "."]
     texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>\u0338b", *("".join(draw.choice(marks) for _ in range(draw.randint(0, 12))) for _ in range(1500))]
@@ -76,13 +75,15 @@ def test_token_files(spark, ordered):
     docs = spark.createDataFrame(sorted(rows, key=lambda r: -1 << 40 if r[0] is None else r[0]) if ordered else rows, "doc_id long, text string").withColumn("start", F.lit("x"))
     files = huffman.write_tokens(docs if ordered else docs.repartition(4), WORD, block_tokens=100)
     got = [(r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in huffman.read_tokens(spark, files).collect()]
-    encoder, at, want = Encoder(WORD), 0, []
+    plain, at, want = Tokenizer.from_file(WORD), 0, []
     for i, text in sorted(rows, key=lambda r: -1 << 40 if r[0] is None else r[0]):
-        ids = [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
-    first = [r["first"] for r in spark.read.parquet(f"{files.path}/blocks").groupBy("shard").agg(F.min("first_token").alias("first")).orderBy("shard").collect()]
+    blocks = spark.read.parquet(f"{files.path}/blocks")
+    assert blocks.where("NOT whole").count() >= 200 and blocks.agg(F.max("n_tokens")).first()[0] < 250  # the long text lies in blocks like others
+    first = [r["first"] for r in blocks.groupBy("shard").agg(F.min("first_token").alias("first")).orderBy("shard").collect()]
     assert first == sorted(first)
 
 
@@ -123,24 +124,47 @@ def test_best_fill_is_best():
 
 
 def test_packed_documents(spark):
-    docs = spark.createDataFrame(ODD, "doc_id long, text string").repartition(2)
-    rows = packing.pack_documents(docs, BYTE).collect()
-    encoder = Encoder(BYTE)
-    want = sorted((zlib.crc32(np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()), i) for i, t in {r for r in ODD} if i not in (10,))
-    whole = sorted({(zlib.crc32(bytes(r["ids"])), r["doc_id"]) for r in rows if r["length"] == r["doc_tokens"]})
-    assert set(whole) <= set(want)
-    assert sum(r["length"] for r in rows) == sum(len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
+    rows = [*ODD, (11, "a <|endoftext|> b"), (12, "many words " * 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).withColumn("start", F.lit("x"))
+    pieces = packing.pack_documents(docs, BYTE).collect()
+    plain = Tokenizer.from_file(BYTE)
+    got = {}
+    for r in pieces:
+        got.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()))
+        assert r["length"] == len(r["ids"]) // 4
+    for i, text in set(rows):  # every id lies in exactly one piece, those of cut documents too
+        ids, times = [*plain.encode(text or "", add_special_tokens=False).ids, 1], rows.count((i, text))
+        own = sorted(got.pop((i, len(ids))))[::times]
+        assert sum((x for _, x in own), []) == ids and [a for a, _ in own] == [sum(len(x) for _, x in own[:k]) for k in range(len(own))]
+    assert not got
     by_sequence = {}
-    for r in rows:
+    for r in pieces:
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for parts in by_sequence.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
+        assert at == 2048 or at & (at - 1) == 0
     assert packing.pack_documents(docs.limit(0), BYTE).count() == 0
 
 
+def test_minimum_slack_fills_more_than_first_fit():
+    """How many sequences whole pieces alone fill: the subset sums against first fit on the same lengths."""
+    draw = np.random.default_rng(5)
+    sizes = np.minimum(2047, draw.lognormal(6, 0.8, 2000).astype(int) + 1).tolist()
+    sequences = list(packing.pack(sizes))
+    uncut = sum(all(n == sizes[doc] for doc, _, n in s) and sum(x[2] for x in s) == 2048 for s in sequences)
+    bins = []
+    for n in sorted(sizes, reverse=True):
+        at = next((i for i, used in enumerate(bins) if used + n <= 2048), None)
+        if at is None:
+            bins.append(n)
+        else:
+            bins[at] += n
+    assert uncut > 0.8 * len(sequences) and uncut > sum(b == 2048 for b in bins)
+
+
 def test_quality_held_out(spark):
     found = queries.QUERIES["op6_quality_model"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (found["predicted"] == found["quality"]).mean() > 0.95

@@ -5,15 +5,16 @@
    of at most ``limit`` bits by package-merge, and the canonical code follows from the lengths alone.
 3. If the partitions' ranges of document ids overlap, the table is first dealt by ranges; a table that was written in
    order needs no shuffle. Ranges become numbered shards.
-4. Each shard's rows are coded in blocks of whole documents. A block holds its document ids and sizes, its bits,
+4. Each shard's rows are coded in blocks of whole documents; a document longer than a block is cut into blocks of its own. A block holds its document ids and sizes, its bits,
    and the bit offset of every ``CHECKPOINT``-th id; so it can be decoded alone, and within it all checkpoints side by side,
    a table look-up each step.
 
-Files: ``codes`` has (id, bits) for every id in use; ``blocks/shard=N`` has the blocks. Shards, blocks by their
+Files: ``codes`` has (id, bits) for every id in use; ``blocks/shard=N/whole=true`` has the blocks of whole documents, ``whole=false`` those of
+cut ones, each with the number of the document's ids in earlier blocks (``before``). Shards, blocks by their
 ``first_token`` and the documents in them are in ascending order of document id (null ids first). Both are Parquet, so any store that Spark writes holds them.
 
 Defined results: null and empty texts are their end id; repeated rows follow each other; an empty table gives empty
-files and no rows; a long text is one long block; other columns are ignored.
+files and no rows; a long text is coded and decoded block by block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ LIMIT = 20
 BLOCK_TOKENS = 1 << 16
 CHECKPOINT = 128
 
-BLOCK = "first_token long, n_tokens long, width int, doc_ids array<long>, sizes array<long>, bits binary, checkpoints binary"
+BLOCK = "first_token long, n_tokens long, width int, before long, doc_ids array<long>, sizes array<long>, bits binary, checkpoints binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -177,7 +178,7 @@ class TokenFiles:
     checkpoint: int = CHECKPOINT
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, *, end_id: int = END_ID, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> TokenFiles:
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, *, end_id: int = END_ID, limit: int = LIMIT, checkpoint: int = CHECKPOINT, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> TokenFiles:
     """Writes the files under ``path`` (by default in the shared folder) and says where they are."""
     spark = docs.sparkSession
     staged = Staged(spark)
@@ -200,35 +201,42 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
     def blocks(batches):
         shard_of, (words, sizes_of) = shards.value
 
-        def block(part: int, start: int, names: list, ids: list[np.ndarray], width: int):
+        def block(part: int, start: int, names: list, ids: list[np.ndarray], width: int, before: int = -1):
+            """``before``: the document's ids in earlier blocks, -1 for whole documents."""
             shard, first = shard_of[part]
             flat = np.concatenate(ids)
-            bits, marks = encode(flat, words, sizes_of)
-            row = {"shard": shard, "first_token": first + start, "n_tokens": len(flat), "width": width, "doc_ids": names, "sizes": [len(x) for x in ids], "bits": bits, "checkpoints": marks}
+            bits, marks = encode(flat, words, sizes_of, checkpoint)
+            row = {"shard": shard, "whole": before < 0, "first_token": first + start, "n_tokens": len(flat), "width": width, "before": max(0, before), "doc_ids": names, "sizes": [len(x) for x in ids], "bits": bits, "checkpoints": marks}
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
         part, at, names, ids, total, width = None, 0, [], [], 0, 2
         for batch in batches:
-            for p, start, name, w, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if ids and (p != part or total >= block_tokens):
+            for i in range(batch.num_rows):
+                p, start, name, w, raw = (c[i].as_py() for c in batch.columns)
+                own = np.frombuffer(raw, f"<u{w}")
+                if ids and (p != part or total >= block_tokens or len(own) > block_tokens):
                     yield block(part, at, names, ids, width)
                     names, ids, total = [], [], 0
+                if len(own) > block_tokens:
+                    for cut in range(0, len(own), block_tokens):
+                        yield block(p, start + cut, [name], [own[cut : cut + block_tokens]], w, cut)
+                    continue
                 if not ids:
                     at = start
                 part, width = p, w
                 names.append(name)
-                ids.append(np.frombuffer(raw, f"<u{w}"))
-                total += len(ids[-1])
+                ids.append(own)
+                total += len(own)
         if ids:
             yield block(part, at, names, ids, width)
 
-    coded = tokens.select("part", "start", "doc_id", "width", "ids").mapInArrow(settled(blocks), f"shard int, {BLOCK}")
-    coded.write.mode("overwrite").option("compression", "uncompressed").partitionBy("shard").parquet(f"{path}/blocks")
+    coded = tokens.select("part", "start", "doc_id", "width", "ids").mapInArrow(settled(blocks), f"shard int, whole boolean, {BLOCK}")
+    coded.write.mode("overwrite").option("compression", "uncompressed").partitionBy("shard", "whole").parquet(f"{path}/blocks")
     staged.drop("tokens", "sorted")
-    return TokenFiles(path, code.limit)
+    return TokenFiles(path, code.limit, checkpoint)
 
 
-_BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("checkpoints", pa.binary())])
+_BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("whole", pa.bool_()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("checkpoints", pa.binary())])
 
 
 def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
@@ -241,17 +249,28 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
         own = Code(*shared.value)
         symbol, length = own.decoder()
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = decode(row["bits"], row["checkpoints"], row["n_tokens"], symbol, length, own.limit).astype("<u4")
-                ends = np.cumsum(row["sizes"])
-                starts = ends - np.array(row["sizes"], np.int64)
+            for i in range(batch.num_rows):
+                first, n, before, names, sizes, bits, marks = (c[i].as_py() for c in batch.columns)
+                ids = decode(bits, marks, n, symbol, length, own.limit, files.checkpoint).astype("<u4")
+                ends = np.cumsum(sizes)
+                starts = ends - np.array(sizes, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["first_token"]), pa.array(row["sizes"], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    [pa.array(names, pa.int64()), pa.array(starts + first - before), pa.array(sizes, pa.int64()), pa.array([before] * len(names), pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
+                    ["doc_id", "start", "n_tokens", "before", "ids"],
                 )
 
-    blocks = spark.read.schema(f"shard int, {BLOCK}").parquet(f"{files.path}/blocks")
-    return blocks.select("first_token", "n_tokens", "doc_ids", "sizes", "bits", "checkpoints").mapInArrow(settled(scan), "doc_id long, start long, n_tokens long, ids binary")
+    def join(pieces: pa.Table) -> pa.Table:
+        own = pieces.sort_by("before")
+        whole = b"".join(own.column("ids").to_pylist())
+        return pa.table({"doc_id": own.column("doc_id")[:1], "start": own.column("start")[:1], "n_tokens": pa.array([len(whole) // 4], pa.int64()), "ids": pa.array([whole], pa.binary())})
+
+    blocks = spark.read.schema(f"{BLOCK}, shard int, whole boolean").parquet(f"{files.path}/blocks")
+
+    def decoded(part: DataFrame) -> DataFrame:
+        return part.select("first_token", "n_tokens", "before", "doc_ids", "sizes", "bits", "checkpoints").mapInArrow(settled(scan), "doc_id long, start long, n_tokens long, before long, ids binary")
+
+    cut = decoded(blocks.where("NOT whole")).groupBy("start").applyInArrow(join, "doc_id long, start long, n_tokens long, ids binary")
+    return decoded(blocks.where("whole")).drop("before").unionByName(cut)
 
 
 def op1_huffman(spark, sf_dir):
