@@ -41,6 +41,30 @@ def test_decisions_take_effect(spark, stages):
     assert {r["doc_id"] for r in stages[4].select("doc_id").distinct().collect()} == set(rows[3])
 
 
+def test_odd_tables(spark, tmp_path):
+    """Null and repeated ids, clashing columns and empty tables: every stage judges row by row and keeps clean rows."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    good = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    rows = [(1, good[0]), (1, good[1]), (None, good[2]), (None, f"{good[3]} {item}"), (2, f"{good[3]} {item}"), (3, good[0]), (3, good[0]), (None, good[2]), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5, "x", 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, row string, score double")
+    texts = [set(map(tuple, [(r["doc_id"], r["text"]) for r in docs.collect()]))]
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == docs.columns
+        texts.append({(r["doc_id"], r["text"]) for r in now.collect()})
+    assert {(1, good[0]), (1, good[1]), (None, good[2])} <= texts[3]
+    assert not any(t == f"{good[3]} {item}" for _, t in texts[3]) and (3, good[0]) not in texts[2]
+    assert len([1 for r in now.collect() if r["text"] == good[2]]) == 1
+    folder = tmp_path / "empty"
+    folder.mkdir()
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(folder / f"{name}.parquet"))
+    docs.limit(0).write.parquet(str(folder / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(folder)).count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, docs, str(folder)).count() == len(rows)
+
+
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[4].count()
 

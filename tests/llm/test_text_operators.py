@@ -296,6 +296,8 @@ def test_licenses_against_exact_windows(spark, empty):
         rows.append((i, f"{noise()} {' '.join(words)} {noise()}"))
     rows += ODD
     got = {r["doc_id"]: [(m["license"], m["start"], m["stop"]) for m in r["matches"]] for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    parts = {r["doc_id"]: [(m["license"], m["start"], m["stop"]) for m in r["matches"]] for r in licenses.scan_licenses(frame(spark, rows), block_bytes=700).collect()}
+    assert parts == got  # templates in many blocks
     for i, text in rows:
         w, found = licenses.words_of((text or "").encode()), []
         for name, template in templates:
