@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return
 the columns of ``documents``; the last returns one row for each piece of a packed sequence, with its ids.
+
+Rows are judged one by one, by their own texts: those without an id or with another row's id go or stay like others. Texts
+move once, where near-duplicates are told apart, and those with weak parts of secrets once more. Null and empty texts score by the classifier's bias,
+are copies of each other, hold nothing to find or mask, and pack as their end id. Texts of any length are read whole; an empty table gives no rows
+in every stage; without labels nothing is rejected, without benchmark nothing is contaminated; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -18,22 +23,22 @@ from waymark.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Rows that the quality classifier rejects go; no row is moved."""
     return drop_rejected(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
+    """One row of each SimHash group stays: the first by id (null ids last), then by length and hash of its text; of rows equal in id and text one."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Rows that hold a benchmark window go; no row is moved."""
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; every document stays."""
+    """Secrets in the texts are masked and ``n_chars`` follows; every row stays."""
     return redact(docs)
 
 
