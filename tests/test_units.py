@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import random
 import zipfile
 
@@ -57,6 +58,9 @@ def test_bands_fail_on_nan_and_null(spark):
     assert [r["m"] for r in df.select(B.Band("x", at_least=0.1).mask().alias("m")).collect()] == [True, False, False, True]
     with pytest.raises(ValueError):
         B.Band("x")
+    for at_least, below in ((0.5, 0.5), (0.7, 0.5)):
+        with pytest.raises(ValueError):
+            B.Band("x", at_least, below)
 
 
 def test_cells_drop_missing_columns_and_doubled_names():
@@ -120,8 +124,11 @@ def test_lane_cap_against_search():
         counts = [draw.randint(0, 12) for _ in range(draw.randint(1, 5))]
         n = draw.randint(1, 30)
         want = next((r / n for r in range(1, n + 1) if sum(min(c, r) for c in counts) >= n), 1.0)
-        assert selection.LaneCap(counts, n, 0.0).floor == want, (counts, n)
-    assert selection.LaneCap([5, 5, 0], 10, 0.1).admits([5, 1, 0], 10) <= 6
+        assert selection.lane_cap(counts, n, 0.0)["floor"] == want, (counts, n)
+        share = draw.random()
+        fits = [k for k in range(n + 1) if sum(min(c, math.ceil(share * k)) for c in counts) >= k]
+        assert selection.supply(counts, share, n) == max(fits)
+    assert selection.lane_cap([5, 5, 0], 0, 0.1) == {"floor": 1.0, "share": 1.0, "capacity": 0, "infeasible": True}
 
 
 def test_feasible_total():

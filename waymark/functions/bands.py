@@ -25,6 +25,8 @@ class Band:
     def __post_init__(self):
         if self.at_least is None and self.below is None:
             raise ValueError("a band needs a bound")
+        if None not in (self.at_least, self.below) and self.below <= self.at_least:
+            raise ValueError("nothing lies in the band")
 
     def mask(self) -> Column:
         x, parts = number(self.column), []

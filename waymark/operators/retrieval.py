@@ -160,11 +160,18 @@ def weighted_rrf(a: DataFrame, b: DataFrame, weights: DataFrame, k: int, constan
 
 
 def pair_counts(queries: DataFrame, docs: DataFrame, *, query_col: str = "query", text_col: str = "text") -> DataFrame:
-    """(a, b, together): documents with both terms, for the unordered term pairs of queries. Documents keep only the terms queries use."""
+    """(a, b, together): documents with both terms, for the unordered term pairs of queries.
+
+    Documents keep only the terms queries use and are numbered in groups of 64, so a term is one number a group and a pair meets
+    once a group that has both, not once a document."""
     words = F.array_sort(token_set(F.col(query_col)))
     pairs = queries.select(F.posexplode(words).alias("i", "a"), words.alias("w")).select("a", F.explode(F.expr("slice(w, i + 2, size(w))")).alias("b")).distinct()
     vocabulary = pairs.select(F.col("a").alias("term")).union(pairs.select(F.col("b").alias("term"))).distinct()
+    spread = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.lit(docs.count() // 64)))
+    place = F.row_number().over(W.partitionBy("group").orderBy("doc_id")) - 1
+    numbered = docs.select("doc_id").distinct().withColumn("group", spread).select("doc_id", "group", F.floor(place / 64).alias("part"), F.expr("shiftleft(1L, cast(pmod(row_number() OVER (PARTITION BY group ORDER BY doc_id) - 1, 64) AS int))").alias("bit"))
     has = docs.select("doc_id", F.explode(token_set(F.col(text_col))).alias("term")).join(vocabulary, "term", "left_semi")
-    left, right = has.select("doc_id", F.col("term").alias("a")), has.select("doc_id", F.col("term").alias("b"))
-    met = pairs.join(left, "a").join(right, ["doc_id", "b"]).groupBy("a", "b").agg(F.count("*").alias("together"))
+    marks = has.join(numbered, "doc_id").groupBy("term", "group", "part").agg(F.bit_or("bit").alias("bits"))
+    left, right = (marks.select(F.col("term").alias(c), "group", "part", F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    met = pairs.join(left, "a").join(right, ["b", "group", "part"]).groupBy("a", "b").agg(F.sum(F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).alias("together"))
     return pairs.join(met, ["a", "b"], "left").fillna(0, ["together"])

@@ -20,6 +20,7 @@ from waymark.plans.define import query
 from waymark.plans.q_labels import classified
 from waymark.plans.q_relational import celled, generated, t
 from waymark.plans.q_retrieval import assessed, label_qrels, rankings
+from waymark.plans.q_selection import poisson_sql
 
 
 def every():
@@ -33,7 +34,7 @@ def _mistype(w, seed):
     return f"(substring({w}, 1, {at} - 1) || translate(substring({w}, {at}, 1), '{D.KEYS}', '{D.NEIGHBOURS}') || substring({w}, {at} + 1))"
 
 
-@query("fn13_stat_column")
+@query("fn13_stat_column", "SELECT query_id, score_pure_rrf AS stat FROM $triples")
 def fn13(spark, sf):
     """The only column that ends in the suffix; none or several are an error."""
     rows = X.triples(spark, sf)
@@ -70,9 +71,9 @@ def gv5(spark, sf):
     return X.search_queries(spark, sf).select("query_id", F.array_join(D.shorten(words, ["the", "of", "and", "that"], gold, F.array(F.lit("that")), 4), " ").alias("child"))
 
 
-@query("gv9_seeded_damage", f"SELECT doc_id, strlen(text) AS mojibake_chars, substring(text, 1, greatest(5, CAST({_NUMBER.format(repr('cut:') + ' || CAST(doc_id AS VARCHAR)')} % length(text) AS INTEGER))) AS cut FROM (SELECT doc_id, substring(text, 1, 50) AS text FROM documents)")
+@query("gv9_seeded_damage", f"SELECT doc_id, strlen(text) AS mojibake_chars, substring(text, 1, greatest(5, CAST({_NUMBER.format(repr('cut:') + ' || CAST(doc_id AS VARCHAR)')} % length(text) AS INTEGER))) AS cut FROM documents")
 def gv9(spark, sf):
-    rows = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 50).alias("text"))
+    rows = t(spark, sf, "documents").select("doc_id", "text")
     return rows.select("doc_id", F.length(D.mojibake(F.col("text"))).cast("long").alias("mojibake_chars"), D.truncate(F.col("text"), "cut", F.col("doc_id")).alias("cut"))
 
 
@@ -115,7 +116,7 @@ def sa2(spark, sf):
     return A.interval(A.two_level_bootstrap(clusters, 60, "two"))
 
 
-@query("sa4_ratio_bootstrap")
+@query("sa4_ratio_bootstrap", poisson_sql("SELECT doc_id AS key, CAST(quality AS DOUBLE) AS d FROM labels WHERE toxic = 0", 200, "ratio"))
 def sa4(spark, sf):
     """Precision of predictions, resampled by labelled row; resamples without a predicted positive are left out."""
     rows = t(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("key"), F.col("quality").cast("double").alias("d"))
@@ -326,11 +327,18 @@ def pf3(spark, sf):
     return spark.createDataFrame([(c.name, len(c.predicate), len(c.any_of)) for c in cells], "name string, bands int, alternatives int")
 
 
-@query("pf16_post_label_refusal", "SELECT query_id, depth FROM $labelled WHERE depth > 3")
+# The columns that a candidate table must have, and those that only labelling can know.
+CANDIDATE_COLUMNS = ["row_id", "dataset", "query_id", "query", "provenance", "family", "cells"]
+POST_LABEL_COLUMNS = ["rung", "version", "route_class", "route_class_any", "margin", "oracle", "route_scores", "route_rankings", "kind", "depth", "certified", "is_decisive", "is_hybrid", "is_waste", "winner"]
+
+
+@query("pf16_post_label_refusal", "SELECT query_id AS row_id, dataset, query_id, query_id AS query, provenance, CAST(cluster AS VARCHAR) AS family, cells FROM (SELECT l.*, c.cells FROM $labelled l JOIN (SELECT query_id, array_to_string(cells, ',') AS cells FROM $celled) c USING (query_id))")
 def pf16(spark, sf):
     """Candidates may not carry what only labelling can know."""
-    rows = X.labelled(spark, sf).where("depth > 3").select("query_id", "depth")
-    return O.require(rows, ["query_id", "depth"], forbidden=["route", "score", "shape", "oracle", "margin", "winner", "serve"])
+    rows = celled(spark, sf).select(
+        F.col("query_id").alias("row_id"), "dataset", "query_id", F.col("query_id").alias("query"), "provenance", F.col("cluster").cast("string").alias("family"), F.array_join("cells", ",").alias("cells"),
+    )
+    return O.require(rows, CANDIDATE_COLUMNS, forbidden=POST_LABEL_COLUMNS)
 
 
 @query("wn7_history_prefix", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM conversations")
@@ -344,7 +352,7 @@ def tk2(spark, sf):
     return rankings(spark, sf).where("rank <= 15").select("query_id", "route", "doc_id")
 
 
-@query("sa5_paired_interval")
+@query("sa5_paired_interval", poisson_sql("SELECT query_id AS key, rf - dn AS d FROM $scored", 200, "audit"))
 def sa5(spark, sf):
     """Mean difference of two routes on the same queries, with a bootstrap interval."""
     rows = X.triples(spark, sf).select(F.col("query_id").alias("key"), (L.score("pure_rrf") - L.score("dense_only")).alias("d"))

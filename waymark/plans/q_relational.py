@@ -37,9 +37,9 @@ def sc3(spark, sf):
 
 
 @query("sc4_query_supplement", """
-SELECT query_id, query FROM $queries UNION ALL SELECT CAST(doc_id AS VARCHAR), substring(text, 1, 20) FROM documents WHERE doc_id < 100 AND CAST(doc_id AS VARCHAR) NOT IN (SELECT query_id FROM $queries)""")
+SELECT query_id, query FROM $queries UNION ALL SELECT CAST(doc_id AS VARCHAR), text FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT query_id FROM $queries)""")
 def sc4(spark, sf):
-    extra = t(spark, sf, "documents").where("doc_id < 100").select(F.col("doc_id").cast("string").alias("query_id"), F.substring("text", 1, 20).alias("query"))
+    extra = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("query_id"), F.col("text").alias("query"))
     return O.supplement(X.search_queries(spark, sf), extra, ["query_id"])
 
 
@@ -293,12 +293,12 @@ def pf13(spark, sf):
 
 @query("pf14_rejects", """
 SELECT doc_id, CASE WHEN n = '' THEN 'empty' WHEN n LIKE 'the %' THEN 'refusal' WHEN taken THEN 'taken' WHEN contains(lower(text), n) THEN 'verbatim' ELSE 'ok' END AS verdict
-FROM (SELECT doc_id, text, trim(regexp_replace(lower(substring(text, 1, doc_id % 40)), '\\s+', ' ', 'g')) AS n, doc_id % 50 = 0 AS taken FROM documents)""")
+FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS n, doc_id % 50 = 0 AS taken FROM documents)""")
 def pf14(spark, sf):
     from waymark.functions.text import normalize
 
     taken = t(spark, sf, "documents").where("doc_id % 50 = 0").select("doc_id", F.lit(True).alias("taken"))
-    n = normalize(F.substring("text", F.lit(1), (F.col("doc_id") % 40).cast("int")))
+    n = normalize(F.col("text"))
     rows = t(spark, sf, "documents").join(taken, "doc_id", "left").withColumn("n", n)
     verdict = F.when(F.col("n") == "", "empty").when(F.col("n").startswith("the "), "refusal").when(F.col("taken"), "taken").when(F.lower("text").contains(F.col("n")), "verbatim").otherwise("ok")
     return rows.select("doc_id", verdict.alias("verdict"))

@@ -292,9 +292,9 @@ def rt4(spark, sf):
     return fused.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("rt6_role_prompts", "SELECT query_id, substring('query: ' || query, 1, 40) AS prompt FROM $queries")
+@query("rt6_role_prompts", "SELECT query_id, 'query: ' || query AS prompt FROM $queries")
 def rt6(spark, sf):
-    return X.search_queries(spark, sf).select("query_id", F.substring(F.concat(F.lit("query: "), "query"), 1, 40).alias("prompt"))
+    return X.search_queries(spark, sf).select("query_id", F.concat(F.lit("query: "), "query").alias("prompt"))
 
 
 @query("rt7_missing_points", "SELECT doc_id FROM $corpus WHERE trim(text) <> '' AND doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")

@@ -38,11 +38,16 @@ def st7(spark, sf):
 # Selection.
 
 
-@query("sl1_lane_cap")
+@query("sl1_lane_cap", """
+WITH c AS (SELECT count(*) AS n FROM $triples GROUP BY dataset), d AS (SELECT unnest([10, 100, 1000, 2000]) AS draw),
+f AS (SELECT draw, coalesce(min(r) / draw::DOUBLE, 1) AS floor FROM d LEFT JOIN (SELECT r, sum(least(n, r)) AS s FROM c, range(1, 2001) t(r) GROUP BY r) ON s >= draw AND r <= draw GROUP BY draw),
+s AS (SELECT draw, floor, greatest(0.2::DOUBLE, floor) AS share FROM f),
+k AS (SELECT draw, max(m) AS capacity FROM (SELECT draw, m, sum(least(n, ceil(share * m))) AS reach FROM s, c, range(0, 2001) t(m) WHERE m <= draw GROUP BY draw, m) WHERE reach >= m GROUP BY draw)
+SELECT CAST(draw AS INTEGER) AS draw, floor, share, CAST(capacity AS INTEGER) AS capacity, floor > 0.2::DOUBLE AS infeasible FROM s JOIN k USING (draw)""")
 def sl1(spark, sf):
     """The cap of a draw over the lanes' counts, and what it admits."""
     counts = [r["n"] for r in labelled(spark, sf).groupBy("dataset").agg(F.count("*").alias("n")).collect()]  # one row a lane
-    rows = [(draw, cap.floor, cap.share, cap.capacity, cap.infeasible) for draw in (10, 100, 1000, 2000) for cap in [S.LaneCap(counts, draw, 0.2)]]
+    rows = [(draw, *S.lane_cap(counts, draw, 0.2).values()) for draw in (10, 100, 1000, 2000)]
     return spark.createDataFrame(rows, "draw int, floor double, share double, capacity int, infeasible boolean")
 
 
@@ -345,7 +350,15 @@ def sa1(spark, sf):
     return A.interval(A.lane_bootstrap(lanes.withColumn("position", F.row_number().over(every().orderBy("dataset")) - 1), 300, "boot"))
 
 
-@query("sa3_paired_bootstrap")
+def poisson_sql(rows: str, resamples: int, seed: str) -> str:
+    """Interval of the Poisson bootstrap of ``rows`` (key, d): a row's count in a resample is how many steps of the distribution its hash passes."""
+    counts = " + ".join(f"CAST(u >= {edge!r}::DOUBLE AS INTEGER)" for edge in A.POISSON)
+    number = _MD5.format(f"'{seed}:' || CAST(key AS VARCHAR) || ':' || CAST(b AS VARCHAR)")
+    means = f"SELECT b, sum(c * d) / sum(c) AS m FROM (SELECT b, d, {counts} AS c FROM (SELECT b, d, {number} / 268435456.0::DOUBLE AS u FROM ({rows}), range({resamples}) t(b))) GROUP BY b HAVING sum(c) > 0"
+    return f"SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(stddev_samp(m), 6) AS se FROM ({means})"
+
+
+@query("sa3_paired_bootstrap", poisson_sql("SELECT query_id AS key, greatest(d1, p1, s1) - greatest(d2, p2, s2) AS d FROM $paired", 100, "pair"))
 def sa3(spark, sf):
     rows = paired(spark, sf).select(F.col("query_id").alias("key"), (L.top("_1") - L.top("_2")).alias("d"))
     return A.interval(A.paired_bootstrap(rows, 100, "pair"))
@@ -607,11 +620,15 @@ def nb10(spark, sf):
     return paired(spark, sf).groupBy(leg.alias("leg")).agg(F.count("*").alias("n"))
 
 
-@query("nb12_discordant_test")
+@query("nb12_discordant_test", """
+WITH c AS (SELECT count(*) FILTER (w1 = 0 AND w2 <> 0) AS a, count(*) FILTER (w1 <> 0 AND w2 = 0) AS b FROM $views), n AS (SELECT *, a + b AS n, least(a, b) AS k FROM c),
+t AS (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM n, LATERAL (SELECT unnest(range(0, k + 1)) AS i)),
+w AS (SELECT *, a / n::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM n), v AS (SELECT *, p + z * z / (2 * n) AS m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) AS s, 1 + z * z / n AS o FROM w)
+SELECT CAST(a AS BIGINT) AS a_only, CAST(b AS BIGINT) AS b_only, CASE WHEN n = 0 THEN 1 ELSE round(least(1, 2 * tail), 9) END AS p, CASE WHEN n = 0 THEN 0 ELSE round((m - s) / o, 9) END AS low, CASE WHEN n = 0 THEN 1 ELSE round((m + s) / o, 9) END AS high FROM v, t""")
 def nb12(spark, sf):
     one, two = (L.argmax(s, L.COMBINER_ROUTES) == "dense_only" for s in ("_1", "_2"))
     a, b = paired(spark, sf).agg(R.count_if(one & ~two), R.count_if(~one & two)).first()  # two numbers
-    return spark.createDataFrame([(a, b, round(A.binomial_two_sided(a, b), 12), *[round(x, 9) for x in A.wilson(a, a + b)])], "a_only long, b_only long, p double, low double, high double")
+    return spark.createDataFrame([(a, b, round(A.binomial_two_sided(a, b), 9), *[round(x, 9) for x in A.wilson(a, a + b)])], "a_only long, b_only long, p double, low double, high double")
 
 
 @query("nb13_gold_rank_band", "SELECT l_orderkey, CASE WHEN n <= 2 THEN '<=2' WHEN n <= 4 THEN '3-4' WHEN n <= 6 THEN '5-6' ELSE 'absent' END AS band FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)")
