@@ -74,7 +74,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, text_col: str = "text",
 
 
 def vector_rank(queries: DataFrame, docs: DataFrame, k: int, *, dims: int | None = None) -> DataFrame:
-    """Exact cosine top ``k``: blocks of queries meet every partition of documents, which sends on its own top ``k`` alone."""
+    """Exact cosine top ``k``, scores to 6 digits and ties by id: blocks of queries meet every partition of documents, which keeps ``k`` rows a query and sends those on."""
     spark = docs.sparkSession
     blocks, ids, rows = [], [], []
     for row in queries.select("query_id", "vector").toLocalIterator():
@@ -90,17 +90,22 @@ def vector_rank(queries: DataFrame, docs: DataFrame, k: int, *, dims: int | None
         return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
 
     def scan(batches):
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             names = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(names):
                 continue
             matrix = unit(np.stack([np.asarray(v, np.float64)[:dims] for v in batch.column(1).to_pylist()]))
-            for block in blocks:
-                asked, own = block.value
-                scores = np.round(unit(own) @ matrix.T, 6)
-                for i, name in enumerate(asked):
-                    best = np.lexsort((names, -scores[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.int64()), pa.array(names[best], pa.int64()), pa.array(scores[i][best])], ["query_id", "doc_id", "score"])
+            for b, block in enumerate(blocks):
+                scores = np.round(unit(block.value[1]) @ matrix.T, 6)
+                for i, own in enumerate(scores):
+                    near = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                    s, n = best.get((b, i), (own[:0], names[:0]))
+                    s, n = np.concatenate([s, own[near]]), np.concatenate([n, names[near]])
+                    order = np.lexsort((n, -s))[:k]
+                    best[b, i] = s[order], n[order]
+        for (b, i), (s, n) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([blocks[b].value[0][i]] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(s)], ["query_id", "doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "vector").mapInArrow(scan, "query_id long, doc_id long, score double")
     return top(scored, k)

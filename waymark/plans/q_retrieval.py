@@ -130,9 +130,9 @@ def fn6(spark, sf):
     return rows.join(after, "i").select("query_id", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
-@query("fn7_normalize_text", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS fp FROM documents WHERE lang = 'en'")
+@query("fn7_normalize_text", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS fp FROM documents")
 def fn7(spark, sf):
-    return X.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("fp"))
+    return X.table(spark, sf, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("fp"))
 
 
 @query("fn8_right_closed_bands", "SELECT query_id, CASE WHEN dn <= 0.3::DOUBLE THEN 'clean' WHEN dn <= 0.6::DOUBLE THEN 'light' ELSE 'heavy' END AS band FROM $scored")
@@ -445,16 +445,6 @@ def jn9(spark, sf):
     return M.without_excluded(ranked, banned).select("query_id", "route", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("jn16_nearest_vectors", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id < b.vec_id AND a.vec_id % 10 = 0 AND list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) > 0.35::DOUBLE")
-def jn16(spark, sf):
-    """Neighbours above a cosine bound of a stated query set, in blocks, against all vectors."""
-    e = X.table(spark, sf, "embeddings")
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    everything = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    near = V.vector_rank(asked, everything, e.count())
-    return near.where("score > 0.35 AND query_id < doc_id").select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"))
-
-
 NEAR = 0.95  # cosine above which SURVEY's JN16 and ST7 take vectors for near-duplicates
 X.SQL["near"] = f"""WITH v AS (SELECT embedding, min(vec_id) AS a FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY embedding)
 SELECT q.a, d.a AS b FROM v q, v d WHERE q.a < d.a AND {_cosine(64).removeprefix("round(").removesuffix(", 6)")} > {NEAR}::DOUBLE UNION ALL SELECT a, vec_id FROM v JOIN embeddings e ON v.embedding = e.embedding WHERE a < vec_id"""

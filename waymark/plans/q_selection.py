@@ -553,9 +553,9 @@ def gv12(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", found.alias("surface"))
 
 
-@query("gv13_no_new_tokens", "SELECT query_id, len(list_filter(w, lambda x: NOT list_contains(p, x) AND x NOT IN ('and', 'or'))) = 0 AND NOT list_contains(w, 'not') AS structural FROM (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w, list_distinct(regexp_extract_all(lower(substring(query, 1, 50)), '[a-z0-9]+')) AS p FROM $queries)")
+@query("gv13_no_new_tokens", r"SELECT query_id, len(list_filter(w, lambda x: NOT list_contains(p, x) AND x NOT IN ('and', 'or'))) = 0 AND NOT list_contains(w, 'not') AS structural FROM (SELECT query_id, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w, list_distinct(regexp_extract_all(lower(regexp_replace(query, '[^ \n]+[ \n]*$', '')), '[a-z0-9]+')) AS p FROM $queries)")
 def gv13(spark, sf):
-    w, p = T.token_set(F.col("query")), T.token_set(F.substring("query", 1, 50))
+    w, p = T.token_set(F.col("query")), T.token_set(F.regexp_replace("query", r"[^ \n]+[ \n]*\z", ""))
     fresh = F.array_except(F.array_except(w, p), F.array(F.lit("and"), F.lit("or")))
     return X.search_queries(spark, sf).select("query_id", ((F.size(fresh) == 0) & ~F.array_contains(w, "not")).alias("structural"))
 
