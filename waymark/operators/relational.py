@@ -110,7 +110,7 @@ def proportional_cap(df: DataFrame, lane: str, cap: int, order: Sequence[Column]
 
 
 def dialogue_history(turns: DataFrame, topic: str, turn: str, text: str) -> DataFrame:
-    """Each utterance with all earlier ones of its topic before it."""
+    """Each utterance with all earlier ones of its topic before it. The result itself grows as the square of a topic's turns."""
     before = W.partitionBy(topic).orderBy(turn).rowsBetween(W.unboundedPreceding, -1)
     earlier = F.collect_list(text).over(before)
     return turns.select(topic, turn, F.concat_ws("\n", earlier, F.concat(F.lit("[CURRENT] "), F.col(text))).alias("query"))
@@ -120,3 +120,18 @@ def resolve_conflicts(qrels: DataFrame, precedence: Sequence[str], keys: Sequenc
     """One judgment per key: the source earlier in ``precedence``, then the smaller ``seq``."""
     rank = F.coalesce(*[F.when(F.col("source") == s, i) for i, s in enumerate(precedence)], F.lit(len(precedence)))
     return keep_one(qrels, keys, [rank, F.col("seq")])
+
+
+def bag_digest(rows: DataFrame, digest: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, digest): lines of bucket digests that tell whether two tables hold the same row digests (hexadecimal) equally often.
+
+    Copies are counted first; then each of 65,536 buckets, by the first four digits, digests its sorted rows. Only the buckets' digests
+    (4 MB at most) meet in one place. Null digests are left out; a group of nothing else has no lines, and neither has an empty table.
+    """
+    counted = rows.groupBy(*by, digest).agg(F.count("*").alias("_n"))
+    line = F.when(F.col(digest).isNotNull(), F.concat_ws(":", digest, F.col("_n").cast("string")))
+    bucket = F.substring(digest, 1, 4).alias("_bucket")
+    lines = counted.groupBy(*by, bucket).agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    each = F.when(F.col("_bucket").isNotNull(), F.struct("_bucket", F.sha2(F.array_join("_lines", "\n"), 256).alias("d")))
+    gathered = lines.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("_all"))
+    return gathered.select(*by, F.array_join(F.col("_all.d"), "\n").alias("digest"))

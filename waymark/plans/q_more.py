@@ -9,12 +9,14 @@ from waymark.functions import bands as B
 from waymark.functions import damage as D
 from waymark.functions import labels as L
 from waymark.functions import text as T
+from waymark.operators import features as C
 from waymark.operators import metrics as M
 from waymark.operators import relational as O
 from waymark.operators import reports as R
 from waymark.operators import retrieval as V
 from waymark.operators import selection as S
 from waymark.operators import statistics as A
+from waymark.operators import worklist as K
 from waymark.plans import fixtures as X
 from waymark.plans.define import query
 from waymark.plans.q_labels import classified
@@ -204,7 +206,8 @@ def sl29(spark, sf):
 def sl32(spark, sf):
     """Exactly one label for each planned row and no others, in plan order."""
     rows = X.labelled(spark, sf).where("depth = 3")
-    plan = rows.select("query_id", F.row_number().over(every().orderBy(O.draw_key("pub", "query_id"), "query_id")).cast("long").alias("place"))
+    drawn = rows.select("query_id", F.struct(O.draw_key("pub", "query_id"), "query_id").alias("draw"))
+    plan = A.numbered(drawn, "draw", "place").select("query_id", F.col("place").cast("long").alias("place"))
     made = rows.select("query_id", L.derive_route().alias("route"))
     O.require_none(O.difference(plan, made, "query_id"), "planned rows without a label")
     O.require_none(O.difference(made, plan, "query_id"), "labels nobody planned")
@@ -294,12 +297,66 @@ def ro7(spark, sf):
     return fires.select(((F.col("d") >= 100).cast("int") + (F.col("r") >= 100).cast("int") + (F.col("s") >= 1_000_000).cast("int")).alias("columns"))
 
 
-@query("ro8_character_ngrams", "SELECT query_id, len(list_distinct(list_transform(range(1, length(q) - 1), lambda i: substring(q, i, 3)))) AS grams FROM (SELECT query_id, lower(query) AS q FROM $queries)")
+@query("ro7_principal_components")
+def ro7_components(spark, sf):
+    """Vectors on their first 50 principal directions."""
+    return C.principal_components(t(spark, sf, "embeddings"), "vec_id", "embedding", 50)
+
+
+_GRAMS = "list_transform(range(1, greatest(length(w) + 4 - n, 1)), lambda i: substring(' ' || w || ' ', i, n))"
+
+
+@query("ro8_character_ngrams", f"SELECT query_id, len(grams) AS grams, len(list_distinct(grams)) AS different FROM (SELECT query_id, flatten(list_transform(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> ''), lambda w: flatten(list_transform([3, 4, 5], lambda n: {_GRAMS})))) AS grams FROM $queries)")
 def ro8(spark, sf):
-    """Distinct character 3-grams, the input of hashed features."""
-    q = F.lower("query")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(q) - 2), lambda i: F.substring(q, i, F.lit(3))))
-    return X.search_queries(spark, sf).select("query_id", F.size(grams).cast("long").alias("grams"))
+    """Character 3- to 5-grams within word borders, the input of hashed features."""
+    grams = X.search_queries(spark, sf).select("query_id", C.border_grams(F.col("query")).alias("g"))
+    return grams.select("query_id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("different"))
+
+
+@query("ro8_ngram_svd")
+def ro8_svd(spark, sf):
+    """Hashed n-grams of the queries on their first 128 singular directions."""
+    return C.truncated_svd(C.hashed_grams(X.search_queries(spark, sf), "query_id", "query"), "query_id", 128)
+
+
+@query("ro9_neural_router")
+def ro9(spark, sf):
+    """A multilayer perceptron on the logistic head's targets."""
+    rows = X.triples(spark, sf).withColumn("y", (L.argmax() == "dense_only").cast("double"))
+    return C.neural_head(rows, ["score_pure_rrf", "score_sparse_only"], "y").select("query_id", "p")
+
+
+@query("rt5_bounded_retries", """
+SELECT o_orderkey, CASE WHEN n < 4 THEN 'seen ' || o_orderkey END AS answer, CAST(least(n + 1, 4) AS INTEGER) AS attempts, CASE WHEN n >= 4 THEN 'transient: busy' END AS fault FROM (SELECT o_orderkey, o_orderkey % 6 AS n FROM orders)""")
+def rt5(spark, sf):
+    """A service that is busy for the first key % 6 calls; four attempts in all."""
+    calls = {}
+
+    def busy(payload):
+        calls[payload] = n = calls.get(payload, 0) + 1
+        if n >= 4 or n > int(payload) % 6:
+            del calls[payload]  # the last call for this payload
+        if n <= int(payload) % 6:
+            raise K.Transient("busy")
+        return f"seen {payload}"
+
+    rows = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("payload"))
+    return K.answered(rows, "o_orderkey", "payload", busy, rest=lambda seconds: None)
+
+
+@query("gv14_budgeted_calls", "SELECT o_orderkey, upper(o_orderstatus) || '!' AS answer, 1::INTEGER AS attempts, NULL::VARCHAR AS fault FROM (SELECT *, sum(o_orderkey % 7 + 1) OVER (ORDER BY o_orderkey) AS spent FROM orders) WHERE spent <= 3000")
+def gv14(spark, sf):
+    """Calls in plan order while their costs stay below a ceiling."""
+    rows = t(spark, sf, "orders").select("o_orderkey", F.upper("o_orderstatus").alias("payload"), (F.col("o_orderkey") % 7 + 1).alias("cost"))
+    return K.answered(K.within_budget(rows, "o_orderkey", "cost", 3000), "o_orderkey", "payload", lambda payload: payload + "!")
+
+
+@query("sl41_lane_turns")
+def sl41(spark, sf):
+    """Lanes are served in turns of 30 rows; lanes whose name ends in O have a fault after every turn, and two chances."""
+    lanes = X.triples(spark, sf).groupBy("dataset").agg(F.count("*").alias("n")).orderBy("dataset").collect()  # one row a lane
+    state = K.take_turns({r["dataset"]: min(r["n"], 100) for r in lanes}, lambda lane, n: (min(n, 30), True) if lane.endswith("O") else (n, False), 450, 2)
+    return spark.createDataFrame([(lane, s["made"], s["chances"], s["dropped"]) for lane, s in state.items()], "dataset string, made int, chances int, dropped boolean")
 
 
 @query("ro10_boosted_trees")
@@ -371,14 +428,11 @@ def sa6(spark, sf):
 @query("sl18_requirement_composer")
 def sl18(spark, sf):
     """The most under-covered requirement first; each lane holds a fixed share of the target at most."""
-    from math import ceil
-
-    target, kappa = 90, 0.25
+    target = 90
     rows = celled(spark, sf).where(F.size("cells") > 0)
-    shaped = rows.select(F.col("query_id").alias("row_id"), F.col("dataset").alias("lane"), F.coalesce("stage", F.lit("none")).alias("family"), F.col("cells").alias("strata"), F.split("query_id", ":").alias("tokens"))
+    shaped = rows.select(F.col("query_id").alias("row_id"), F.col("dataset").alias("lane"), F.coalesce("stage", F.lit("none")).alias("family"), "provenance", F.col("cells").alias("strata"))
     floors = {c: max(25, int(0.5 * target / 3)) for c in ("dense_high", "fused_mid", "sparse_low")}
-    budgets = dict.fromkeys(("A-F", "N-F", "N-O", "R-F", "A-O", "R-O"), ceil(kappa * target))
-    return S.shortlist(shaped, target).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: S.compose(pdf, floors, budgets, target, theta=0.0), "row_id string, stratum string, lane string, theta double, rank long")
+    return S.cover_shortlist(shaped, target).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: S.cover(pdf, floors, target, 0.25), "row_id string, stratum string, lane string, rank long")
 
 
 @query("nb6_widest_gap", """

@@ -193,11 +193,13 @@ def fn17(spark, sf):
     return X.corpus(spark, sf).select("doc_id", T.fingerprint(F.col("lane"), F.col("source"), F.col("text")).alias("fp"))
 
 
-@query("fn18_set_fingerprint", "SELECT lane, sha256(string_agg(md5(text), chr(10) ORDER BY md5(text)) || chr(10) || 'v1') AS fp FROM $corpus GROUP BY lane")
+@query("fn18_set_fingerprint", """
+WITH b AS (SELECT lane, substring(m, 1, 4) AS bucket, sha256(string_agg(m || ':' || n, chr(10) ORDER BY m)) AS digest FROM (SELECT lane, md5(text) AS m, CAST(count(*) AS VARCHAR) AS n FROM $corpus GROUP BY ALL) WHERE m IS NOT NULL GROUP BY 1, 2)
+SELECT l.lane, sha256(coalesce((SELECT string_agg(digest, chr(10) ORDER BY bucket) FROM b WHERE b.lane IS NOT DISTINCT FROM l.lane), '') || chr(10) || 'v1') AS fp FROM (SELECT DISTINCT lane FROM $corpus) l""")
 def fn18(spark, sf):
-    """Fingerprint of a set of row fingerprints and a configuration."""
-    rows = X.corpus(spark, sf).groupBy("lane").agg(F.array_sort(F.collect_list(F.md5("text"))).alias("fps"))
-    return rows.select("lane", F.sha2(F.concat(F.array_join("fps", "\n"), F.lit("\nv1")), 256).alias("fp"))
+    """Fingerprint of a bag of row fingerprints and a configuration."""
+    rows = X.corpus(spark, sf).select("lane", F.md5("text").alias("row"))
+    return O.bag_digest(rows, "row", ["lane"]).select("lane", F.sha2(F.concat("digest", F.lit("\nv1")), 256).alias("fp"))
 
 
 @query("fn19_cache_key", "SELECT query_id, sha256('m1' || chr(31) || 'query' || chr(31) || query_id || chr(31) || query) AS key FROM $queries")

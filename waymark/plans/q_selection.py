@@ -150,10 +150,20 @@ def sl20(spark, sf):
     """Candidates are prepared by Spark, which leaves out only those that no choice can reach; the sequential choice runs in one grouped function."""
     floors, budgets = {"dense_high": 40, "fused_mid": 60, "sparse_low": 30}, {"A-F": 30, "N-O": 30, "R-F": 30}
 
+    rows = _composer_rows(spark, sf)
+    strata = rows.select("lane", F.explode("strata").alias("name"))
+    limits = spark.createDataFrame(sorted(budgets.items()), "lane string, budget long")
+    free = strata.select("lane").distinct().join(limits, "lane", "left").fillna(100, ["budget"])
+    supply = {r["name"]: r["supply"] for r in S.admissible_supply(strata, free).collect()}  # one row a stratum
+    reachable = {name: floor for name, floor in floors.items() if supply.get(name, 0) >= floor}  # the others are debt
+
     def one(pdf):
-        return S.compose(pdf, floors, budgets, 100)
+        return S.compose(pdf, reachable, budgets, 100)
 
-    return S.shortlist(_composer_rows(spark, sf), 100).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(one, "row_id string, stratum string, lane string, theta double, rank long")
+    picked = S.shortlist(rows, 100).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(one, "row_id string, stratum string, lane string, theta double, rank long")
+    picked = graph.checkpointed(picked.withColumn("reason", F.lit("floor")))  # the choice is long and read three times
+    filled = S.residual_fill(rows, picked, budgets, 100).withColumn("reason", F.lit("residual"))
+    return picked.unionByName(filled, allowMissingColumns=True)
 
 
 @query("sl21_strata_prepare", "SELECT query_id, array_to_string(list_sort(list_concat(cells, ['lane:' || dataset])), ',') AS strata FROM $celled")
@@ -229,11 +239,13 @@ def sl31(spark, sf):
     return X.labelled(spark, sf).select("query_id", part.alias("part"))
 
 
-@query("sl33_plan_fingerprint", "SELECT sha256(string_agg(dataset || '|' || query_id, chr(10) ORDER BY query_id)) AS fp FROM $labelled WHERE depth = 4")
+@query("sl33_plan_fingerprint", """
+WITH b AS (SELECT substring(m, 1, 4) AS bucket, sha256(string_agg(m || ':' || n, chr(10) ORDER BY m)) AS digest FROM (SELECT md5(dataset || '|' || query_id) AS m, CAST(count(*) AS VARCHAR) AS n FROM $labelled WHERE depth = 4 GROUP BY 1) GROUP BY 1)
+SELECT sha256(coalesce(string_agg(digest, chr(10) ORDER BY bucket), '')) AS fp FROM b""")
 def sl33(spark, sf):
-    """Row digests sorted per bucket, then a digest of bucket digests would scale; a plan is small, so its rows are gathered."""
-    rows = X.labelled(spark, sf).where("depth = 4").agg(F.array_sort(F.collect_list(F.struct("query_id", F.concat_ws("|", "dataset", "query_id").alias("r")))).alias("rows"))
-    return rows.select(F.sha2(F.array_join(F.col("rows.r"), "\n"), 256).alias("fp"))
+    """Fingerprint of a plan, whatever the order of its rows."""
+    rows = X.labelled(spark, sf).where("depth = 4").select(F.md5(F.concat_ws("|", "dataset", "query_id")).alias("row"))
+    return O.bag_digest(rows, "row").select(F.sha2("digest", 256).alias("fp"))
 
 
 @query("sl34_label_more", "SELECT dataset, query_id FROM (SELECT l.dataset, query_id, row_number() OVER (PARTITION BY l.dataset ORDER BY md5('more:' || query_id), query_id) AS k, need FROM $labelled l JOIN (SELECT dataset, CAST(ceil(50 / greatest(avg(CASE WHEN depth > 2 THEN 1.0 ELSE 0.0 END), 0.05::DOUBLE) * 1.5) AS BIGINT) AS need FROM $labelled GROUP BY dataset) n ON l.dataset = n.dataset WHERE depth = 0) WHERE k <= need")
