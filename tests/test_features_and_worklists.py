@@ -166,3 +166,19 @@ def test_places_within_a_hot_group(spark):
     assert len(got) == len(rows)
     places = statistics.numbered(spark.range(500).withColumn("x", -F.col("id")), "x", "n").collect()
     assert all(r["n"] == 500 - r["id"] for r in places)
+
+
+def test_judgments_and_documents_of_evaluation_campaigns(spark, tmp_path):
+    from waymark.sources.adapters import ADAPTERS
+
+    (tmp_path / "qrels").write_text("301 0 FR-1 2\n 302\t0  FR-2\t0\n")
+    got = ADAPTERS["qrels_trec"].read(spark, str(tmp_path / "qrels")).collect()
+    assert [tuple(r) for r in got] == [("301", "FR-1", 2.0), ("302", "FR-2", 0.0)]
+    (tmp_path / "short").write_text("301 0 FR-1\n")
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+        ADAPTERS["qrels_trec"].read(spark, str(tmp_path / "short")).collect()
+    (tmp_path / "docs").write_text('D1\thttp://x\tA "title\tbody, "quoted"\nD2\thttp://y\t\tonly\n')
+    got = ADAPTERS["documents_tsv"].read(spark, str(tmp_path / "docs")).collect()
+    assert [tuple(r) for r in got] == [("D1", 'A "title', 'body, "quoted"'), ("D2", "", "only")]
+    (tmp_path / "passages").write_text('{"docid": "1#0", "text": "one"}\n')
+    assert [tuple(r) for r in ADAPTERS["passages_jsonl"].read(spark, str(tmp_path / "passages")).collect()] == [("1#0", "", "one")]

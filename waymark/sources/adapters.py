@@ -42,6 +42,9 @@ ADAPTERS = {
     "corpus_tsv": Adapter("csv", {"doc_id": "id", "title": "''", "text": "text"}, "id string, text string", {"sep": "\t"}),
     "queries_tsv": Adapter("csv", {"query_id": "id", "text": "text"}, "id string, text string", {"sep": "\t"}),
     "products_latin1": Adapter("csv", {"doc_id": "product_uid", "title": "product_title", "text": "coalesce(product_description, '')"}, "product_uid string, product_title string, product_description string", {"header": "true", "encoding": "ISO-8859-1", "quote": '"', "escape": '"'}),
+    "qrels_trec": Adapter("text", {n: f"CAST(split(trim(value), '\\\\s+')[{i}] AS {k})" for n, i, k in (("query_id", 0, "STRING"), ("doc_id", 2, "STRING"), ("relevance", 3, "DOUBLE"))}, "value string"),
+    "documents_tsv": Adapter("csv", {"doc_id": "id", "title": "coalesce(title, '')", "text": "coalesce(body, '')"}, "id string, url string, title string, body string", {"sep": "\t", "quote": ""}),
+    "passages_jsonl": Adapter("json", {"doc_id": "docid", "title": "coalesce(title, '')", "text": "text"}, "docid string, title string, text string"),
     "answers_parquet": Adapter("parquet", {"query_id": "CAST(id AS STRING)", "text": "question", "gold_ids": "gold_ids"}, "id string, question string, gold_ids string"),
 }
 
