@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import random
 import zipfile
@@ -67,7 +68,24 @@ def test_cells_drop_missing_columns_and_doubled_names():
     cells = B.load_cells([{"name": "a", "predicate": [["x", 0.5, None]]}, {"name": "b", "any_of": [[["y", None, 1.0]]]}])
     assert [c.name for c in B.available(cells, ["x"])] == ["a"]
     with pytest.raises(ValueError):
-        B.load_cells([{"name": "a"}, {"name": "a"}])
+        B.load_cells([{"name": "a", "predicate": [["x", 1]]}, {"name": "a", "predicate": [["x", 2]]}])
+    with pytest.raises(ValueError):
+        B.load_cells([{"name": "a", "predicate": []}])
+
+
+def test_cells_from_catalog_files(spark, tmp_path):
+    first, second = tmp_path / "first.json", tmp_path / "second.yaml"
+    cells = [{"name": f"c{i}", "note": "ignored", "predicate": [{"column": "shape.words", "at_least": i, "below": i + 2}], "any_of": [{"column": "share", "below": 0.5}, {"column": "spans", "at_least": 1}]} for i in range(40)]
+    first.write_text(json.dumps({"_note": "ignored", "cells": cells}))
+    second.write_text("_note: >\n  ignored\ncells:\n- name: long\n  predicate:\n  - column: shape.words\n    at_least: 3\n")
+    pytest.importorskip("yaml")
+    loaded = B.read_cells(first, second)
+    assert [c.name for c in loaded] == [*(f"c{i}" for i in range(40)), "long"]
+    rows = spark.createDataFrame([(1, 3.0, 0.9, 1), (2, 3.0, 0.9, 0), (3, 0.0, 0.1, 0), (4, None, 0.1, 2)], "id int, words double, share double, spans int").withColumnRenamed("words", "shape.words")
+    got = {r["id"]: r["cells"] for r in rows.select("id", B.memberships(loaded).alias("cells")).collect()}
+    assert got == {1: ["c2", "c3", "long"], 2: ["long"], 3: ["c0"], 4: []}
+    with pytest.raises(ValueError):
+        B.read_cells(first, first)
 
 
 def test_cuts(spark):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ class Band:
             raise ValueError("nothing lies in the band")
 
     def mask(self) -> Column:
-        x, parts = number(self.column), []
+        x, parts = number(f"`{self.column}`"), []  # catalogs name columns group.member
         if self.at_least is not None:
             parts.append(x >= F.lit(float(self.at_least)))
         if self.below is not None:
@@ -45,6 +48,10 @@ class Cell:
     predicate: Sequence[Band] = ()
     any_of: Sequence[Sequence[Band]] = field(default_factory=list)
 
+    @property
+    def bands(self) -> list[Band]:
+        return [*self.predicate, *[b for bands in self.any_of for b in bands]]
+
     def mask(self, alternative: int | None = None) -> Column:
         parts = [b.mask() for b in self.predicate]
         choices = [reduce(lambda a, b: a & b, [b.mask() for b in bands]) for bands in self.any_of]
@@ -53,19 +60,49 @@ class Cell:
         return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def load_cells(rows: Sequence[dict]) -> list[Cell]:
-    """Cells from plain dictionaries {name, predicate: [[column, at_least, below]], any_of: [[...]]}; names must differ."""
-    cells = [Cell(r["name"], [Band(*b) for b in r.get("predicate", [])], [[Band(*b) for b in alt] for alt in r.get("any_of", [])]) for r in rows]
-    names = [c.name for c in cells]
-    if len(set(names)) != len(names):
-        raise ValueError("cell names must differ")
+def _band(entry: Mapping | Sequence) -> Band:
+    return Band(**entry) if isinstance(entry, Mapping) else Band(*entry)
+
+
+def _alternative(entry: Mapping | Sequence) -> list[Band]:
+    return [_band(entry)] if isinstance(entry, Mapping) else [_band(b) for b in entry]
+
+
+def load_cells(rows: Iterable[Mapping]) -> list[Cell]:
+    """Cells from plain dictionaries {name, predicate: [band], any_of: [alternative]}, in order; other keys are ignored.
+
+    A band is a list [column, at_least, below] or a dictionary of those names; an alternative is a list of bands or one dictionary.
+    Names must differ and every cell needs a band, as it would claim every row without one.
+    """
+    cells = [Cell(r["name"], [_band(b) for b in r.get("predicate") or ()], [_alternative(a) for a in r.get("any_of") or ()]) for r in rows]
+    doubled = sorted(name for name, n in Counter(c.name for c in cells).items() if n > 1)
+    if doubled:
+        raise ValueError(f"cell names must differ: {doubled}")
+    empty = [c.name for c in cells if not c.bands]
+    if empty:
+        raise ValueError(f"cells without a band: {empty}")
     return cells
 
 
+def read_cells(*paths: str | Path) -> list[Cell]:
+    """All cells of catalog files as one vocabulary, in file order. A file is a dictionary whose ``cells`` are what ``load_cells`` takes:
+    JSON if its name ends in ``.json``, else YAML, which needs PyYAML."""
+    rows = []
+    for path in map(Path, paths):
+        text = path.read_text(encoding="utf-8")
+        if path.suffix == ".json":
+            rows += json.loads(text)["cells"]
+        else:
+            import yaml  # optional; only for catalogs in YAML
+
+            rows += yaml.safe_load(text)["cells"]
+    return load_cells(rows)
+
+
 def available(cells: Sequence[Cell], columns: Sequence[str]) -> list[Cell]:
     """Those cells whose columns all exist."""
     there = set(columns)
-    return [c for c in cells if all(b.column in there for b in [*c.predicate, *[b for alt in c.any_of for b in alt]])]
+    return [c for c in cells if all(b.column in there for b in c.bands)]
 
 
 def memberships(cells: Sequence[Cell]) -> Column:
