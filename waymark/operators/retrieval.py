@@ -20,6 +20,8 @@ from waymark.operators.graph import checkpointed
 BLOCK = 4096
 #: Vectors of one side of a block pair in the search for near pairs.
 PAIR_BLOCK = 2048
+#: Query terms, and (query, term) rows, up to which bm25 sends them to every task: some 40 MB.
+ASKED = 1_000_000
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -29,19 +31,6 @@ def body(title: Column, text: Column) -> Column:
     return F.trim(F.concat_ws("\n\n", F.nullif(F.coalesce(title, F.lit("")), F.lit("")), F.coalesce(text, F.lit(""))))
 
 
-def postings(docs: DataFrame, text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf); with ``terms``, of those terms only, which are picked before anything is shuffled."""
-    rows = docs.select("doc_id", F.explode(tokens(F.col(text_col))).alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, dl), apart from the postings: beside an explode the length would be computed anew for every token."""
-    return docs.select("doc_id", F.size(tokens(F.col(text_col))).alias("dl"))
-
-
 def index_statistics(docs: DataFrame, text_col: str = "text") -> tuple[int, float]:
     """Number of documents and their mean length; one row."""
     row = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("l")).first()
@@ -62,14 +51,20 @@ def top(scored: DataFrame, k: int, keys: Sequence[str] = ("query_id",)) -> DataF
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, *, text_col: str = "text", query_col: str = "query", k1: float = K1, b: float = B) -> DataFrame:
-    """Top ``k`` documents of each query. Only postings of query terms are scored; scores are sums of millionths, so their order does not depend on the order of summing."""
+    """Top ``k`` documents of each query. Only postings of query terms are scored; scores are sums of millionths, so their order does not depend on the order of summing.
+
+    Postings carry their document's length, and document frequencies count the same shuffled rows. If the queries' terms are at most
+    ``ASKED``, postings are dealt by document before they meet the queries, so a document's sums are made in one place; else joins by term do it."""
     n_docs, mean = index_statistics(docs, text_col)
     asked = queries.select("query_id", F.explode(token_set(F.col(query_col))).alias("term"))
-    posted = postings(docs, text_col, asked)
-    frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
+    words = docs.select("doc_id", tokens(F.col(text_col)).alias("words")).select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    posted = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    frequency = posted.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))  # reads tf, so that both plans share the shuffle
+    few = asked.count() <= ASKED
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean or 1.0)))
-    weighted = posted.join(frequency, "term").join(lengths(docs, text_col), "doc_id").select("term", "doc_id", F.round(idf(n_docs, F.col("df")) * saturation * 1_000_000).cast("long").alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    weighted = posted.join(F.broadcast(frequency) if few else frequency, "term").select("term", "doc_id", F.round(idf(n_docs, F.col("df")) * saturation * 1_000_000).cast("long").alias("w"))
+    met = weighted.repartition("doc_id").join(F.broadcast(asked), "term") if few else weighted.join(asked, "term")
+    scored = met.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
     return top(scored, k)
 
 

@@ -86,7 +86,11 @@ FROM (SELECT *, CAST(split_part(query_id, ':', 1) AS BIGINT) AS o, CAST(split_pa
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text", F.col("lang").alias("lane"), "source")
+    """The documents, dealt out by id where the file has fewer partitions than the session has cores; larger tables stay as they lie."""
+    docs, cores = table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "doc_id")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text", F.col("lang").alias("lane"), "source")
 
 
 SQL["corpus"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, '' AS title, text, lang AS lane, source FROM documents"
