@@ -130,6 +130,14 @@ def test_bm25_prefers_rare_terms(spark):
     assert retrieval.bm25(asked, docs.limit(0), 2).count() == 0
 
 
+def test_bm25_same_rows_by_either_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), " ".join(f"w{(i * k) % 7}" for k in range(1, 9))) for i in range(40)], "doc_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 1} w{i}") for i in range(5)], "query_id string, query string")
+    by_document = sorted(map(tuple, retrieval.bm25(asked, docs, 3).collect()))
+    monkeypatch.setattr(retrieval, "ASKED", 0)
+    assert len(by_document) == 15 and by_document == sorted(map(tuple, retrieval.bm25(asked, docs, 3).collect()))
+
+
 def test_pair_counts(spark):
     docs = spark.createDataFrame([("1", "a b c"), ("2", "a c"), ("3", "b")], "doc_id string, text string")
     asked = spark.createDataFrame([("q", "c a b")], "query_id string, query string")
