@@ -139,6 +139,20 @@ def test_chain_and_star_links_lose_nothing(spark):
     assert stars <= near
 
 
+def broadcasts(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    draw = random.Random(4)
+    rows = [(simhash._signed(draw.getrandbits(64)), i) for i in range(300)]
+    nodes = Staged(spark).put(spark.createDataFrame(rows, "fp long, part long"), "few")
+    assert broadcasts(nodes.join(nodes.select("fp"), "fp")) > 0  # as it comes from a small file
+    assert [broadcasts(simhash.chain_links(nodes, length=n)) for n in (2, 3)] == [0, 0]
+    assert broadcasts(simhash.star_links(nodes.select("fp"))) == 0
+
+
 @pytest.mark.parametrize("crowd", [2, 1000])
 def test_crowded_keys_lose_no_link(spark, crowd):
     draw = random.Random(9)

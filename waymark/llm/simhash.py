@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import Staged, read, salted_join, settled, texts
+from waymark.llm.common import Staged, apart, read, salted_join, settled, texts
 from waymark.llm.components import connected_components
 
 SHINGLE = 4
@@ -106,7 +106,7 @@ def star_links(nodes: DataFrame) -> DataFrame:
     least = hubs.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.count("*").alias("n"))
     pairs = least.where("n = 2").select("a", F.col("z").alias("b"))
     crowd = least.where("n > 2").select("at", "a")
-    rest = hubs.join(crowd, "at").where("fp <> a").select("a", F.col("fp").alias("b"))
+    rest = apart(hubs).join(crowd, "at").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(rest).distinct()
 
 
@@ -137,7 +137,7 @@ def chain_links(nodes: DataFrame, radius: int = RADIUS, length: int = 2) -> Data
     ring = segments(radius)
     n = len(ring)
     length = min(length, n)
-    left = nodes.select(F.col("fp").alias("a"), F.col("part").alias("pa"), F.explode(F.array(*_chains(radius, length > 2, length))).alias("s")).select("a", "pa", "s.chain", "s.key")
+    left = apart(nodes.select(F.col("fp").alias("a"), F.col("part").alias("pa"), F.explode(F.array(*_chains(radius, length > 2, length))).alias("s")).select("a", "pa", "s.chain", "s.key"))
     right = nodes.select(F.col("fp").alias("b"), F.col("part").alias("pb"), F.explode(F.array(*_chains(radius, True, length))).alias("s")).select("b", "pb", "s.chain", "s.key")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     chained = F.lit(False)
