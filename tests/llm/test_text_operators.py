@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 
 from waymark.llm import decontaminate, licenses, quality_rules, secrets, simhash, substring_dedup
-from waymark.llm.common import Staged
+from waymark.llm.common import Staged, salted_join
 
 ODD = [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "a"), (1003, "a"), (None, "a b c"), (1004, "x" * 70000), (1005, "word " * 30000), (1006, "É\x1cß ſtr \x85 word")]
 VOCABULARY = ["the", "of", "Ärger", "x1", "and", "été", "zu", "b.", "c,d", "E"]
@@ -153,6 +153,16 @@ def test_keys_of_fingerprints_are_not_broadcast(spark):
     assert broadcasts(simhash.star_links(nodes.select("fp"))) == 0
 
 
+def test_rows_of_a_salted_join_are_not_broadcast(spark):
+    staged = Staged(spark)
+    rows = staged.put(spark.range(3000).select("id", (F.col("id") % 7).alias("fp")), "rows")
+    found = staged.put(spark.range(7).select(F.col("id").alias("fp"), (F.col("id") * 2).alias("first")), "found")
+    own = salted_join(rows, found, "fp", "id")
+    assert sorted(map(tuple, own.collect())) == sorted((i % 7, i, i % 7 * 2) for i in range(3000))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("Initial Plan")[1].split("Join", 1)[0] + "Join"
+
+
 @pytest.mark.parametrize("crowd", [2, 1000])
 def test_crowded_keys_lose_no_link(spark, crowd):
     draw = random.Random(9)

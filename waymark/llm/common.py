@@ -130,10 +130,10 @@ def apart(rows: DataFrame) -> DataFrame:
 
 def salted_join(rows: DataFrame, found: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
     """``rows`` with the columns of ``found``, which has one row a key; a key's rows are dealt to ``salts`` shares by
-    ``by``, and each share gets its copy of the found row, so that a key of very many rows does not end in one task."""
+    ``by``, and each share gets its copy of the found row, so that a key of very many rows does not end in one task. Rows are never broadcast, few though their bytes on disk may be."""
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     told = dealt.select(key, "__salt").distinct().join(found, key)
-    return dealt.join(told, [key, "__salt"]).drop("__salt")
+    return apart(dealt).join(told, [key, "__salt"]).drop("__salt")
 
 
 def steps(values: list[bytes | None], size: int = STEP_BYTES):
