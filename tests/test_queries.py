@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import pytest
 
 from waymark.plans.registry import ORACLES, QUERIES
@@ -36,6 +37,18 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 
 
+def test_identifier_flags_of_odd_pages(spark, tmp_path):
+    texts = ["CIÓNES!!", "ÑABC", "ABCñ", "ABC\u0301", "Ü A-123é", "éCVE-2020-12345", "http://\x0bx", "http:// x", "x_ABC", "ABC", "ABCDEFG", "e /a/b", "", None]
+    odd = [(i, "u", t) for i, t in enumerate(texts)] + [(len(texts), None, "ABC")]
+    spark.createDataFrame(odd, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    name = "fn23_identifier_flags"
+    with duckdb.connect() as own:
+        own.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = own.sql(ORACLES[name]).fetchall()
+    got = QUERIES[name](spark, str(tmp_path))
+    assert rows(got.collect()) == rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 

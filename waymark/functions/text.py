@@ -26,3 +26,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def fingerprint(*fields: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", *fields), 256), 1, length)
+
+
+def ascii_pattern(pattern: str) -> str:
+    r"""``pattern`` for ``rlike`` as RE2 reads it: ``\b``, at its ends and beside a word's character only, by ASCII words, and ``[^\s]`` without ASCII blanks.
+
+    Java takes accented letters and marks as parts of words in ``\b`` and the vertical tab as a blank."""
+    if pattern.startswith(r"\b"):
+        pattern = "(?<![0-9A-Za-z_])" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + "(?![0-9A-Za-z_])"
+    return pattern.replace(r"[^\s]", r"[^\t\n\f\r ]")
